@@ -122,7 +122,7 @@ def ratio(num: Column, den: Column) -> Column:
 
 def _short(x: Column) -> Column:
     """One decimal at most, no trailing zeros."""
-    return F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+    return F.regexp_replace(F.format_string("%.1f", F.bround(x, 1)), r"\.0$", "")
 
 
 def aperture(f: Column) -> Column:
