@@ -55,3 +55,22 @@ def names_by_path(photos: DataFrame, faces: DataFrame, persons: DataFrame) -> Da
     named = faces.filter("person_id is not null").join(persons.select(F.col("id").alias("pid"), "name"), F.col("person_id") == F.col("pid"))
     names = named.groupBy("photo_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     return photos.select("id", "path").join(names, F.col("id") == F.col("photo_id")).select("path", "names")
+
+
+def enrolled(faces: DataFrame, persons: DataFrame) -> DataFrame:
+    """id, person_id, name, embedding of the named faces that have a vector."""
+    named = faces.filter("person_id is not null and embedding is not null")
+    return named.join(persons.select(F.col("id").alias("pid"), "name"), F.col("person_id") == F.col("pid")).select("id", "person_id", "name", "embedding")
+
+
+def relabel_clusters(faces: DataFrame, clusters: DataFrame) -> DataFrame:
+    """faces with cluster_id from a new clustering (id, cluster) of the unnamed ones, numbered from 0 by least face.
+
+    Labels that the unnamed faces had are gone; named faces have none. Clusters are numbered, so the
+    window is over one row a cluster.
+    """
+    firsts = clusters.filter("cluster is not null").select("cluster").distinct()
+    number = firsts.withColumn("k", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("int"))
+    new = clusters.join(number, "cluster").select(F.col("id").alias("_id"), "k")
+    out = faces.join(new, F.col("id") == F.col("_id"), "left")
+    return out.withColumn("cluster_id", F.when(F.col("person_id").isNull(), F.col("k"))).drop("_id", "k")

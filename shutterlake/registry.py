@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import VIEWS_SQL, StarCatalog
 from .functions import media, planner
 from .functions.geo import haversine_km
-from .operators import browse, bursts, entity, facets, mutate, people, ranking, timeline
+from .operators import browse, bursts, entity, facets, mutate, people, ranking, stats, timeline
 from .operators.predicates import PEOPLE, escape_like, select
 from .sources.export import sidecars
 from .streaming.ingest import sessions
@@ -289,6 +289,35 @@ _add("dhash", lambda c: c.vectors.select("id", media.dhash(F.transform(F.slice(F
      "SELECT id, list_aggregate(list_transform(range(16), lambda k: substr('0123456789abcdef', 1 + list_sum(list_transform(range(4), lambda j: CASE WHEN v[(4*k+j)//8*9 + (4*k+j)%8 + 1] > v[(4*k+j)//8*9 + (4*k+j)%8 + 2] THEN CAST(8 >> j AS INT) ELSE 0 END))::INT, 1)), 'string_agg', '') AS hash FROM (SELECT id, list_transform(list_concat(embedding, embedding)[1:72], lambda x: floor(x * 1000::FLOAT)) v FROM vectors)")
 _add("bucket_filters", lambda c: c.photos.agg(*[F.count_if(p()).alias(f"b{i}") for i, p in enumerate(PEOPLE.values())]), "SELECT count(*) FILTER (WHERE face_count = 0) b0, count(*) FILTER (WHERE face_count = 1) b1, count(*) FILTER (WHERE face_count BETWEEN 2 AND 4) b2, count(*) FILTER (WHERE face_count >= 5) b3 FROM photos")
 
+# ---- glances ---------------------------------------------------------------------------------
+_add(
+    "library_stats",
+    lambda c: stats.library_stats(c.photos, c.faces, c.persons),
+    """SELECT * FROM (SELECT 'scene' topic, scene_type AS value, count(*) n FROM photos GROUP BY 2 ORDER BY n DESC, 2 LIMIT 6) UNION ALL SELECT * FROM (SELECT 'country', place_country, count(*) n FROM photos GROUP BY 2 ORDER BY n DESC, 2 LIMIT 6)
+    UNION ALL SELECT * FROM (SELECT 'person', name, count(DISTINCT photo_id) n FROM faces JOIN persons s ON s.id = person_id GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10) UNION ALL SELECT 'dated by', coalesce(taken_source, 'mtime'), count(*) FROM photos GROUP BY 2
+    UNION ALL SELECT 'first year', min(substr(taken_at, 1, 4)), NULL FROM photos UNION ALL SELECT 'last year', max(substr(taken_at, 1, 4)), NULL FROM photos UNION ALL SELECT 'photos', NULL, count(*) FROM photos UNION ALL SELECT 'videos', NULL, count(*) FILTER (WHERE is_video) FROM photos""",
+)
+_add("facet_top", lambda c: stats.top(facets.facet(c.photos, c.faces, {}, "city"), 14), "SELECT place_city AS value, count(*) n FROM photos GROUP BY 1 ORDER BY n DESC, value LIMIT 14")
+_add("cache_signature", lambda c: stats.signature(c.faces), "SELECT count(*) n, max(id) AS top FROM faces")
+_add(
+    "enrollment",
+    lambda c: people.enrolled(c.vectors.withColumnRenamed("label", "person_id"), c.persons).select("id", "person_id", "name"),
+    "SELECT v.id, label person_id, name FROM vectors v JOIN persons s ON s.id = label",
+)
+
+
+def _library(c: StarCatalog) -> DataFrame:
+    faces = c.vectors.select("id", "photo_id", F.when(F.col("id") % 5 == 0, F.col("label")).alias("person_id"), F.lit(99).alias("cluster_id"), "embedding")
+    return people.relabel_clusters(faces, entity.dbscan(faces.filter("person_id is null").select("id", "embedding"), 0.6, 2)).select("id", "person_id", "cluster_id")
+
+
+_add(
+    "cluster_library",
+    _library,
+    """SELECT v.id, CASE WHEN v.id % 5 = 0 THEN label END person_id, CAST(k AS INT) cluster_id FROM vectors v LEFT JOIN (SELECT id, dense_rank() OVER (ORDER BY c) - 1 k FROM (SELECT a id, least(a, min(b)) c FROM r GROUP BY a)) g ON g.id = v.id""",
+    _U + ", e AS (SELECT x.id a, y.id b FROM u x JOIN u y ON x.id <> y.id AND x.id % 5 <> 0 AND y.id % 5 <> 0 AND 1 - list_dot_product(x.v, y.v) <= 0.6), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)",
+)
+
 # ---- planner ---------------------------------------------------------------------------------
 _PEOPLE = [{"id": 1, "name": "the"}, {"id": 2, "name": "que"}, {"id": 3, "name": "des"}]
 _add("plan_query", lambda c: c._t("conversations").select("conv_id", "turn", planner.plan_column(F.substring("text", 1, 80), _PEOPLE).alias("p")).select("conv_id", "turn", "p.person_mode", F.size("p.person_ids").alias("named"), "p.text"))  # noqa: SLF001
