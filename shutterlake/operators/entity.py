@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.media import iou
-from ..functions.vectors import dot, doubles, normalize
+from ..functions.vectors import doubles, normalize
 from ..plans.graph import components
 
 #: Rows of a block when all pairs of a set of vectors are compared.
@@ -70,24 +70,46 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     return out.select("id", F.coalesce("cluster", "near").alias("cluster"))
 
 
+def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float) -> DataFrame:
+    """probe, pos, person_id, dist, r: each probe's k nearest of side (id, person_id, embedding) within the threshold.
+
+    Both are dealt into blocks; a pair of blocks is one matrix product that keeps each probe's k best,
+    and the best of those are its nearest. So neither side has to fit anywhere, and what is ranked
+    is k rows a probe and block. Equal distances go to the least id.
+    """
+    import numpy as np
+
+    blocks = [max(1, -(-df.count() // BLOCK)) for df in (probes, side)]
+    deal = lambda df, n, name: unit(df).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    p = deal(probes, blocks[0], "i").select(F.col("id").alias("probe"), "v", "i", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))
+    s = deal(side, blocks[1], "j").select(F.col("id").alias("pos"), "person_id", "v", "j", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"probe": [], "pos": [], "person_id": [], "dist": []}
+        if len(a) and len(b):
+            b = b.sort_values("pos", kind="stable")
+            d = np.round(1.0 - np.vstack(a["v"].to_list()) @ np.vstack(b["v"].to_list()).T, 12)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            x, y = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+            keep = d[x, y] <= threshold
+            x, y = x[keep], y[keep]
+            out = {"probe": a["probe"].to_numpy()[x], "pos": b["pos"].to_numpy()[y], "person_id": b["person_id"].to_numpy()[y], "dist": d[x, y]}
+        return pd.DataFrame(out).astype({"probe": "int64", "pos": "int64", "person_id": "int64", "dist": "float64"})
+
+    near = p.groupBy("i", "j").cogroup(s.groupBy("i", "j")).applyInPandas(best, "probe long, pos long, person_id long, dist double")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("dist", "pos"))).filter(F.col("r") <= k)
+
+
 def knn_vote(probes: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """probe, person_id, confidence: votes of the k nearest positives less those of the k nearest negatives.
 
     probes: id, embedding; positives and negatives: id, person_id, embedding. Only neighbours within
     the threshold vote; a person needs more votes than vetoes; most net votes, then the least mean
-    distance, then the least person. Probes meet the enrolled faces in a broadcast nested loop, so the
-    enrolled side must be small; it is checked by the caller's catalog size.
+    distance, then the least person.
     """
-    p = unit(probes).select(F.col("id").alias("probe"), F.col("v").alias("pv"))
-
-    def nearest(side: DataFrame) -> DataFrame:
-        s = unit(side).select(F.col("id").alias("pos"), "person_id", "v")
-        d = p.crossJoin(F.broadcast(s)).select("probe", "pos", "person_id", (1 - dot(F.col("pv"), F.col("v"))).alias("dist")).filter(F.col("dist") <= threshold)
-        return d.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("dist", "pos"))).filter(F.col("r") <= k)
-
-    votes = nearest(positives).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
+    votes = nearest(probes, positives, k, threshold).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
     if negatives is not None:
-        veto = nearest(negatives).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
+        veto = nearest(probes, negatives, k, threshold).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
         votes = votes.join(veto, ["probe", "person_id"], "left").withColumn("votes", F.col("votes") - F.coalesce("vetoes", F.lit(0))).drop("vetoes")
     best = votes.filter("votes > 0").withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("votes"), F.round("mean", 9), "person_id"))).filter("r = 1")
     return best.select("probe", "person_id", F.greatest(F.lit(0.0), F.round(1 - F.col("mean"), 6)).alias("confidence"))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_km
 
+#: Cities that are looked through for each point.
+MOST_CITIES = 50_000
 #: Texts that are taken for a time; others have none.
 STAMP = r"\A\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?([+-]\d{2}:\d{2}|Z)?\z"
 
@@ -71,9 +73,11 @@ def on_this_day(photos: DataFrame, month: int, day: int, per_year: int = 24) ->
 def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
     """points with the name, country and distance of the nearest city; the first listed of equals.
 
-    cities (n, name, country, clat, clon) is a bundled table of bounded size, broadcast; the least
-    distance is an aggregate over the point's own row, so no point's pairs are shuffled by city.
+    cities (n, name, country, clat, clon) is a table of at most MOST_CITIES rows, which is checked,
+    broadcast as one array; the least distance is taken within the point's own row.
     """
+    if cities.limit(MOST_CITIES + 1).count() > MOST_CITIES:
+        raise ValueError(f"more than {MOST_CITIES} cities; cut the globe into cells and look up each point's own and its neighbours'")
     listed = cities.agg(F.array_sort(F.collect_list(F.struct("n", "name", "country", "clat", "clon"))).alias("cities"))
     d = lambda c: F.struct(haversine_km(F.col("lat"), F.col("lon"), c["clat"], c["clon"], clamp=True).alias("km"), c["n"].alias("n"), c["name"].alias("name"), c["country"].alias("country"))
     best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(F.transform("cities", d)))
