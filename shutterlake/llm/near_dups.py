@@ -7,12 +7,14 @@ the start, so copies cost no pairs. Classes get SuperMinHash signatures of 192 s
 
 1. star: of each band's group, every member is paired with the member that stands in the most and
    largest groups (the likely original);
-2. rest: where the links so far leave a group in several components, the pairs across components
+2. rest: where the links so far leave a group in several components, all pairs across components
    whose signatures agree enough (0.72, five standard errors under the limit) and whose sizes
-   allow the limit. Large groups are dealt out in blocks against blocks. The best partner of each
-   class in each other component goes first, then all that still part components.
+   allow the limit, each in the first band that the two share. Large groups are dealt out in
+   blocks against blocks. First the members that have such a partner are found, then their texts
+   join them, and each block verifies its pairs, the most alike first, passing over those that its
+   links have connected meanwhile; only links leave it.
 
-Every pair is verified on the full sets of both texts, and the links' components are the result.
+Every link is verified on the full sets of both texts, and the links' components are the result.
 
 Edge cases: A-Z are lower-cased and words are runs of [^\\x20\\x09-\\x0D]; a text of fewer than 5
 words is one shingle, all of it; null texts and texts without words are empty and linked with
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_batch, table, texts
-from .components import components
+from .components import UnionFind, components
 from .superminhash import bands, brief, signature
 from .words import identities, runs, spaced_words
 
@@ -41,7 +43,7 @@ WORDS, SLOTS, ROWS = 5, 192, 6
 #: Least likeness, in hundredths, and the signatures' agreement under which a pair isn't verified.
 PERCENT, AGREE = 85, 0.72
 #: Members of a block when a large group is dealt out.
-BLOCK = 512
+BLOCK = 256
 #: Classes whose members have no doc_id have numbers from here on.
 NAMELESS = 1 << 62
 
@@ -115,41 +117,81 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs across components in each group of rows (h, i, j), which follow one another."""
-
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int], list[float]]:
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
-        node, comp, size, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 7))
-        out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        same_block = rows[0][1] == rows[0][2]
-        for x in range(len(rows)):
-            ok = np.arange(len(rows)) > x if same_block else block > block[x]
-            ok &= (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-            at = np.flatnonzero(ok)
-            if len(at):
-                agree = (sig[at] == sig[x]).mean(axis=1)
-                good = agree >= AGREE
-                out[0].extend(np.maximum(node[at[good]], node[x]).tolist())
-                out[1].extend(np.minimum(node[at[good]], node[x]).tolist())
-                out[2].extend(agree[good].tolist())
-        return out
+class _Block:
+    """The rows of one block pair (h, i, j): which pairs in it are open."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.rows, self.percent = rows, percent
+        self.sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
+        self.bands = np.array([r[8] for r in rows], np.int64)
+        self.band = int(np.flatnonzero(self.bands[0] == rows[0][0])[0])
+        self.node, self.comp, self.size, self.block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 7))
+
+    def open_with(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows after x, or of the other block, that may be linked to x from another component; and how far signatures agree."""
+        same = self.rows[0][1] == self.rows[0][2]
+        ok = np.arange(len(self.rows)) > x if same else self.block > self.block[x]
+        ok &= (self.comp != self.comp[x]) & (100 * np.minimum(self.size, self.size[x]) >= self.percent * np.maximum(self.size, self.size[x]))
+        at = np.flatnonzero(ok)
+        at = at[np.argmax(self.bands[at] == self.bands[x], axis=1) == self.band] if len(at) else at
+        agree = (self.sig[at] == self.sig[x]).mean(axis=1) if len(at) else np.zeros(0)
+        good = agree >= AGREE
+        return at[good], agree[good]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of one (h, i, j), which follow one another, together."""
+    group: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if group and r[:3] != group[0][:3]:
+                yield group
+                group = []
+            group.append(r)
+    if group:
+        yield group
+
+
+_ROW = ("h", "i", "j", "node", "comp", "sig", "n", "block", "bands")
+
+
+def _open_members(percent: int):
+    """The members of each block pair that have a partner to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        for rows in _grouped(batches, _ROW):
+            g = _Block(rows, percent)
+            used = np.zeros(len(rows), bool)
+            for x in range(len(rows)):
+                at, _ = g.open_with(x)
+                used[at] = True
+                used[x] |= len(at) > 0
+            if used.any():
+                keep = [r for r, u in zip(rows, used.tolist(), strict=True) if u]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*keep, strict=True), _KINDS, strict=True)], list(_ROW))
 
-        def done():
-            a, b, s = pairs(group)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(s, pa.float64())})
+    return run
 
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "i", "j", "node", "comp", "sig", "n", "block")), strict=True):
-                if group and r[:3] != group[0][:3]:
-                    yield done()
-                    group = []
-                group.append(r)
-        if group:
-            yield done()
+
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+
+
+def _links(n: int, percent: int):
+    """Links between components of each block pair: no more than join what is alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, (*_ROW, "text")):
+            g, sets, joined, found = _Block(rows, percent), {}, UnionFind(), []
+            pairs = sorted((-a, x, y) for x in range(len(rows)) for y, a in zip(*(v.tolist() for v in g.open_with(x)), strict=True))
+            for _, x, y in pairs:
+                if joined.root(int(g.comp[x])) != joined.root(int(g.comp[y])):
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = shingles((rows[z][9] or "").encode(), n)
+                    if alike(sets[x], sets[y], percent):
+                        joined.join(int(g.comp[x]), int(g.comp[y]))
+                        found.append((int(g.node[x]), int(g.node[y])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
 
     return run
 
@@ -176,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     heads = ranked.groupBy("h").agg(F.max(F.struct("w", (-F.col("node")).alias("minus"))).alias("top")).select("h", (-F.col("top.minus")).alias("head"))
     star = members.join(heads, "h").filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
 
-    likely = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", "sig")
+    likely = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", "sig", "bands")
     likely = scratch.save(likely, "likely")
     side = lambda s: likely.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
     sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -206,27 +248,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     rest = rest.withColumn("o", other).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    rest = rest.join(likely.select("node", "sig", "n"), "node").select("h", "i", "j", "node", "comp", "sig", "n", "block")
-    rest = rest.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across(percent), "a long, b long, agree double")
-    rest = scratch.save(rest.groupBy("a", "b").agg(F.max("agree").alias("agree")).join(star, ["a", "b"], "left_anti"), "rest")
-
-    def parted(pairs: DataFrame, c: DataFrame) -> DataFrame:
-        for s in "ab":
-            x = c.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-            pairs = pairs.join(x, s, "left").withColumn(f"c{s}", F.coalesce(f"c{s}", s))
-        return pairs.filter("ca <> cb")
-
+    rest = rest.join(likely.select("node", "sig", "n", "bands"), "node").select(*_ROW)
+    dealt = lambda df: df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    rest = scratch.save(dealt(rest).mapInArrow(_open_members(percent), "h long, i int, j int, node long, comp long, sig binary, n long, block int, bands array<long>"), "rest")
     if not rest.isEmpty():
-        open_pairs = parted(rest, comps)
-        best = open_pairs.select("a", "b", "agree", F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("cb").alias("y")), F.struct(F.col("b").alias("x"), F.col("ca").alias("y")))))
-        best = best.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
-        more = verified(best, "links-2")
-        links = links.unionByName(more)
-        comps = scratch.save(components(links, scratch, "cc2"), "comps-2")
-        last = parted(rest.join(best, ["a", "b"], "left_anti"), comps).select("a", "b")
-        more = verified(last, "links-3")
+        more = dealt(rest.join(full, "node").select(*_ROW, "text")).mapInArrow(_links(words, percent), "a long, b long")
+        more = scratch.save(more, "links-2")
         if not more.isEmpty():
-            comps = scratch.save(components(links.unionByName(more), scratch, "cc3"), "comps-3")
+            comps = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comps-2")
 
     scratch.drop("full", "rest", "star", "members", "likely")
     known = classes.select("mark", "node").join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"))
