@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.graph import checkpointed
 from ..schema import INDEXED
 
 FLAGS = ("favorite", "hidden")
@@ -21,11 +22,12 @@ FLAGS = ("favorite", "hidden")
 def _new_ids(df: DataFrame, after: int, by: str) -> DataFrame:
     """df with ids from after + 1, in the order of a column, without a global window.
 
-    Rows are numbered within range partitions, whose sizes are summed first.
+    Rows are numbered within range partitions, whose sizes are summed first. The partitions are
+    checkpointed, as both steps must see the same ones.
     """
     parts = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id())
     n = F.row_number().over(Window.partitionBy("_p").orderBy(by))
-    numbered = parts.withColumn("_n", n)
+    numbered = checkpointed(parts.withColumn("_n", n))
     sizes = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     base = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
     out = numbered.join(F.broadcast(base), F.col("_p") == F.col("_q"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: computed once, whatever uses it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="shutterlake-"))
@@ -23,14 +24,14 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for the nodes of undirected edges (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _checkpoint(both)
-    labels = _checkpoint(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("component")))
+    both = checkpointed(both)
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("n"), F.col("component").alias("jump"))
         moved = moved.join(up, F.col("c") == F.col("n")).select("node", F.least("c", "jump").alias("component"), "was")
-        moved = _checkpoint(moved)
+        moved = checkpointed(moved)
         labels = moved.select("node", "component")
         if moved.filter("component <> was").isEmpty():
             return labels
