@@ -11,6 +11,8 @@ the document, and the k greatest are kept.
 k is the number of documents that the models take for target texts: those whose log weight is over
 the limit that parts the labelled target texts from the other labelled ones best.
 
+A text that the target model was fitted on is weighed without its own share in it.
+
 Bounds: the models are fitted on at most ``MOST_LABELLED`` labelled documents, the least by a hash
 of their id; the raw counts, the weights and the selection cover all documents. The models have
 ``WORD_BUCKETS`` + ``SHAPE_BUCKETS`` entries whatever the data. The k-th greatest score is found by
@@ -74,18 +76,40 @@ def ngrams(text: bytes) -> np.ndarray:
     return np.concatenate([words, pairs + np.uint64(WORD_BUCKETS)]).astype(np.int64)
 
 
-def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log(target probability / raw probability) of each bucket; words and pairs are a model each.
+PARTS = (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, None))
+
 
-    A bucket's share of target n-grams is drawn towards the overall share by SMOOTH n-grams, so rare
-    n-grams say little.
+class Model:
+    """Counts of target and raw n-grams, and log(target probability / raw probability) of each bucket.
+
+    Words and pairs are a model each. A bucket's share of target n-grams is drawn towards the overall
+    share by SMOOTH n-grams, so rare n-grams say little.
     """
-    out = np.zeros(len(raw))
-    for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, None)):
-        t, r = target[part], raw[part]
-        share = max(t.sum(), 1) / max(r.sum(), 1)
-        out[part] = np.log((t + SMOOTH * share) / (r + SMOOTH) / share)
-    return out
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray):
+        self.target, self.raw, self.known = target, raw, bool(target.any())
+        self.share = np.zeros(len(raw))
+        for part in PARTS:
+            self.share[part] = max(target[part].sum(), 1) / max(raw[part].sum(), 1)
+        self.ratio = self._ratio(target, raw, self.share)
+
+    @staticmethod
+    def _ratio(target: np.ndarray, raw: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return np.log((target + SMOOTH * share) / (raw + SMOOTH) / share)
+
+    def weight(self, grams: np.ndarray, fitted: bool) -> float:
+        """Log importance weight of a text. One that the target model was fitted on is judged without its own counts."""
+        if not self.known or not len(grams):
+            return 0.0
+        if not fitted:
+            return float(self.ratio[grams].sum())
+        at, n = np.unique(grams, return_counts=True)
+        return float(self._ratio(np.maximum(self.target[at] - n, 0), self.raw[at], self.share[at]) @ n)
+
+
+def _among(ids: pa.Array, some: np.ndarray) -> np.ndarray:
+    ids = ids.cast(pa.int64())
+    return np.isin(ids.fill_null(0).to_numpy(), some) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _count(target_ids: np.ndarray):
@@ -93,13 +117,11 @@ def _count(target_ids: np.ndarray):
         n = WORD_BUCKETS + SHAPE_BUCKETS
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
-            mine = np.isin(ids.fill_null(0).to_numpy(), target_ids) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for t, good in zip(texts(b), mine.tolist(), strict=True):
-                c = np.bincount(ngrams(t), minlength=n)
-                raw += c
-                if good:
-                    target += c
+            mine = _among(b.column("doc_id"), target_ids)
+            grams = [ngrams(t) for t in texts(b)]
+            raw += np.bincount(np.concatenate(grams), minlength=n)
+            if good := [g for g, m in zip(grams, mine.tolist(), strict=True) if m]:
+                target += np.bincount(np.concatenate(good), minlength=n)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
@@ -161,14 +183,14 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 1, most_
     raw, target = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS), np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
     for r in counts.collect():  # at most as many rows as buckets
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    model = spark.sparkContext.broadcast(ratios(target, raw) if target.any() else np.zeros(len(raw)))
+    model = spark.sparkContext.broadcast(Model(target, raw))
 
     def weigh(batch: pa.RecordBatch):
-        ratio, sizes, sums = model.value, [], []
-        for t in texts(batch):
+        m, sizes, sums = model.value, [], []
+        for t, fitted in zip(texts(batch), _among(batch.column("doc_id"), target_ids).tolist(), strict=True):
             g = ngrams(t)
             sizes.append(len(g))
-            sums.append(float(ratio[g].sum()) if len(g) else 0.0)
+            sums.append(m.weight(g, fitted))
         u = ((batch.column("noise").to_numpy() >> 11) & ((1 << 53) - 1)).astype(np.float64)
         score = np.array(sums) - np.log(-np.log((u + 0.5) / 2.0**53))
         yield {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_ngrams": pa.array(sizes, pa.int64()), "log_weight": pa.array(sums, pa.float64()), "score": pa.array(score), "place": pa.array(sortable(score))}
