@@ -96,51 +96,64 @@ def _contexts(batch: pa.RecordBatch):
     yield {n: pa.array(c, k) for n, c, k in zip(("key", "p", "lo", "hi", "w", "n", "at", "bytes"), cols, kinds, strict=True)}
 
 
+#: Contexts whose ranks are made together.
+_TOGETHER = 2048
+
+
 def _units(step: int):
     """Units of step windows from wider units, with their ranks."""
 
     def cut(batch: pa.RecordBatch):
-        rows: list[int] = []
-        cores, hulls, los, his = [], [], [], []
-        cols = [batch.column(c).to_pylist() for c in ("key", "p", "lo", "hi", "n", "at", "bytes")]
-        for k, (key, p, lo, hi, n, at, data) in enumerate(zip(*cols, strict=True)):
-            names = doubled(np.frombuffer(data, np.uint8), (256,))[256]
-            j = np.arange((p - hi) // step, (p - lo) // step + 1, dtype=np.int64)
-            first, last = p - j * step - step + 1, p - j * step
-            some = (last >= 0) & (first <= n - LENGTH)
-            j, first, last = j[some], first[some], last[some]
-            salt = scramble(j.astype(np.uint64) + _U(step << 32))
-            core = pair(_rank(names, last - at, first + LENGTH - at), salt)
-            whole = (first >= 0) & (last <= n - LENGTH)
-            hull = core ^ _U(int.from_bytes(hashlib.md5(key + p.to_bytes(8)).digest()[:8])) | _U(1)  # of its own
-            if whole.any():
-                hull[whole] = pair(_rank(names, first[whole] - at, last[whole] + LENGTH - at), ~salt[whole])
-            rows.extend([k] * len(j))
-            cores.append(core)
-            hulls.append(hull)
-            los.append(first)
-            his.append(last)
-        at_row = pa.array(rows, pa.int64())
-        cat = lambda x, t: np.concatenate([*x, np.zeros(0, t)])
-        yield {
-            **{c: batch.column(c).take(at_row) for c in ("key", "p", "w")},
-            "core": cat(cores, np.uint64).view(np.int64),
-            "hull": cat(hulls, np.uint64).view(np.int64),
-            "lo": cat(los, np.int64).astype(np.int32),
-            "hi": cat(his, np.int64).astype(np.int32),
+        for s in range(0, batch.num_rows, _TOGETHER):
+            yield part(batch.slice(s, _TOGETHER))
+
+    def part(batch: pa.RecordBatch) -> dict:
+        p, lo, hi, n, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("p", "lo", "hi", "n", "at"))
+        blobs = batch.column("bytes").to_pylist()
+        length = np.array([len(b) for b in blobs], np.int64)
+        # ranks that run over a context's end are never asked for
+        names = doubled(np.frombuffer(b"".join(blobs), np.uint8), (256,))[256]
+        base = np.cumsum(length) - length - at
+        j0 = (p - hi) // step
+        many = (p - lo) // step - j0 + 1
+        row = np.repeat(np.arange(len(p)), many)
+        j = j0[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        first, last = p[row] - j * step - step + 1, p[row] - j * step
+        some = (last >= 0) & (first <= n[row] - LENGTH)
+        row, j, first, last = row[some], j[some], first[some], last[some]
+        salt, b = scramble(j.astype(np.uint64) + _U(step << 32)), base[row]
+        core = pair(_rank(names, last + b, first + LENGTH + b), salt)
+        whole = (first >= 0) & (last <= n[row] - LENGTH)
+        hull = np.empty(len(row), np.uint64)
+        hull[whole] = pair(_rank(names, first[whole] + b[whole], last[whole] + LENGTH + b[whole]), ~salt[whole])
+        keys = batch.column("key")
+        for i in np.flatnonzero(~whole).tolist():  # a unit over the text's edge has a hull of its own
+            own = keys[int(row[i])].as_py() + int(p[row[i]]).to_bytes(8) + int(j[i]).to_bytes(8)
+            hull[i] = int.from_bytes(hashlib.md5(own).digest()[:8])
+        taken = pa.array(row, pa.int64())
+        return {
+            **{c: batch.column(c).take(taken) for c in ("key", "p", "w")},
+            "core": core.view(np.int64),
+            "hull": hull.view(np.int64),
+            "lo": first.astype(np.int32),
+            "hi": last.astype(np.int32),
         }
 
     return by_batch("key binary, p int, w int, core long, hull long, lo int, hi int", cut)
 
 
-def _rerank(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rerank(units: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """(units whose hull repeats: key, lo, hi; one unit of each hull that must be cut further).
 
-    w: 2 for a unit that stands for several, whose bytes an earlier round has taken.
+    w: 2 for a unit that stands for several, whose bytes an earlier round has taken. What is grouped
+    is written before it is joined, so that both sides of each join are dealt for it, and a core or
+    hull that very many units share can be split.
     """
     hulls = units.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("key", "p", "lo", "hi")).alias("u"))
+    hulls = scratch.save(hulls, f"hulls-{name}")
     again = units.filter("w = 1").join(hulls.filter("c > 1").select("core", "hull"), ["core", "hull"]).select("key", "lo", "hi")
     cores = hulls.groupBy("core").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 and least = 1").select("core")
+    cores = scratch.save(cores, f"cores-{name}")
     on = hulls.join(cores, "core").select("u.*", F.least("c", F.lit(2)).cast("int").alias("w"))
     return again, on
 
@@ -152,17 +165,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     units = by_batch("key binary, core long, hull long, p int, lo int, hi int", _scan)(docs.filter(F.octet_length("text") >= LENGTH))
     units = scratch.save(units, "units")
     company = units.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    company = scratch.save(company, "company")
     units = scratch.save(units.join(company, "core").withColumn("w", F.lit(1)), "shared")
-    scratch.drop("units")
+    scratch.drop("units", "company")
     scratch.settle()
-    again, on = _rerank(units)
+    again, on = _rerank(units, scratch, "0")
     found = [scratch.save(again.distinct(), "again-0")]
     on = scratch.save(on, "on-0")
 
     asked = on.groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "w")).alias("units"))
     around = docs.join(asked, "key").dropDuplicates(["key"])
     around = scratch.save(by_batch("key binary, p int, lo int, hi int, w int, n int, at int, bytes binary", _contexts)(around), "around")
-    scratch.drop("shared", "on-0")
+    scratch.drop("shared", "on-0", "hulls-0", "cores-0")
     scratch.settle()
     for k, step in enumerate(STEPS, 1):
         if k == 1:
@@ -170,11 +184,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         else:
             wide = on.join(around.select("key", "p", "n", "at", "bytes"), ["key", "p"])
         units = scratch.save(_units(step)(wide.select("key", "p", "lo", "hi", "w", "n", "at", "bytes")), f"units-{k}")
-        again, on = _rerank(units)
+        again, on = _rerank(units, scratch, str(k))
         found.append(scratch.save(again, f"again-{k}"))
         if step > 1:
             on = scratch.save(on, f"on-{k}")
-        scratch.drop(f"units-{k}", f"on-{k - 1}")
+        scratch.drop(f"units-{k}", f"on-{k - 1}", f"hulls-{k}", f"cores-{k}")
     scratch.drop("around")
     windows = found[0]
     for x in found[1:]:
@@ -235,15 +249,15 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH t AS (SELECT row_number() OVER () r, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
-g AS (SELECT r, p, md5(substr(h, 2 * p + 1, 800)) m FROM t, unnest(range(0, CAST(len(h) // 2 - 399 AS BIGINT))) AS u(p)),
+WITH t AS (SELECT row_number() OVER () r, doc_id, encode(coalesce(text, '')) h FROM documents),
+g AS (SELECT r, p, md5(h[p + 1:p + 400]) m FROM t, unnest(range(0, CAST(octet_length(h) - 399 AS BIGINT))) AS u(p)),
 dup AS (SELECT m FROM g GROUP BY m HAVING count(*) > 1),
 s AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) d FROM g WHERE m IN (SELECT m FROM dup)),
 b AS (SELECT r, p, sum(CASE WHEN d IS NULL OR d > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) k FROM s),
 x AS (SELECT r, k, min(p) a, max(p) + 400 e FROM b GROUP BY r, k),
 o AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) f FROM x),
-q AS (SELECT o.r, count(*) n, sum(e - a) c, max(e) z, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) kept FROM o JOIN t USING (r) GROUP BY o.r)
-SELECT doc_id, CAST(len(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(c, 0) AS BIGINT) n_removed, CAST(coalesce(n, 0) AS BIGINT) n_spans,
-       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * z + 1) END)) kept_sha256
+q AS (SELECT o.r, count(*) n, sum(e - a) c, max(e) z, string_agg(CASE WHEN a > f THEN hex(h[f + 1:a]) ELSE '' END, '' ORDER BY a) kept FROM o JOIN t USING (r) GROUP BY o.r)
+SELECT doc_id, CAST(octet_length(h) AS BIGINT) n_bytes, CAST(coalesce(c, 0) AS BIGINT) n_removed, CAST(coalesce(n, 0) AS BIGINT) n_spans,
+       sha256(CASE WHEN n IS NULL THEN h ELSE unhex(kept || CASE WHEN octet_length(h) > z THEN hex(h[z + 1:octet_length(h)]) ELSE '' END) END) kept_sha256
 FROM t LEFT JOIN q USING (r)
 """
