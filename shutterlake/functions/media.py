@@ -18,7 +18,7 @@ IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".h
 VIDEOS = (".mov", ".mp4", ".m4v", ".avi", ".3gp", ".mkv", ".webm", ".mts", ".wmv")
 FIRST_YEAR = 1990
 _MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
-#: File name patterns in the order they are tried, with the places of year, month, day, hour, minute, second.
+#: File name patterns in the order they are tried, with the places of year, month, day, hour, minute, second.
 DATED = (
     (r"(?i)(?<!\d)(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})\d*_iOS", (1, 2, 3, 4, 5, 6)),
     (r"(?i)(?:IMG|VID)-(\d{4})(\d{2})(\d{2})-WA\d+", (1, 2, 3)),
@@ -110,6 +110,21 @@ def exif_time(value: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def merged_exif(base: Column, sub: Column) -> Column:
+    """One map of a file's base tags and its capture block's; the base wins where both have a tag."""
+    own = F.coalesce(base, F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
+    more = F.map_filter(F.coalesce(sub, F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))), lambda k, _: ~F.map_contains_key(own, k))
+    return F.map_concat(own, more)
+
+
+def capture_settings(exif: Column) -> Column:
+    """struct(aperture, shutter, iso, focal, lens) for display, from a map of tags as text."""
+    tag = lambda k: F.try_element_at(exif, F.lit(k))
+    number = lambda k: F.coalesce(tag(k).try_cast("double"), ratio(F.regexp_extract(tag(k), r"^(-?[\d.]+)/", 1).try_cast("double"), F.regexp_extract(tag(k), r"/(-?[\d.]+)$", 1).try_cast("double")))
+    lens = F.nullif(F.trim(F.coalesce(F.nullif(tag("LensModel"), F.lit("")), tag("LensMake"))), F.lit(""))
+    return F.struct(aperture(number("FNumber")).alias("aperture"), shutter(number("ExposureTime")).alias("shutter"), iso(F.coalesce(tag("ISOSpeedRatings"), tag("PhotographicSensitivity"))).alias("iso"), focal(number("FocalLength")).alias("focal"), lens.alias("lens"))
+
+
 def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
     """Degrees, minutes and seconds as decimal degrees, negative for S and W; null if any part is."""
     d = degrees + minutes / 60.0 + seconds / 3600.0

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..plans.graph import checkpointed
 from ..schema import INDEXED
+from .entity import carry_labels
 
 FLAGS = ("favorite", "hidden")
 
@@ -213,3 +214,29 @@ def integrity(photos: DataFrame, faces: DataFrame, persons: DataFrame, negatives
     out = c(faces.join(photos.select(F.col("id").alias("_i")), F.col("photo_id") == F.col("_i"), "left_anti"), "face without photo")
     out = out.unionByName(c(faces.filter("person_id is not null").join(persons.select(F.col("id").alias("_i")), F.col("person_id") == F.col("_i"), "left_anti"), "face of no person"))
     return out.unionByName(c(negatives.join(faces.select(F.col("id").alias("_i")), F.col("face_id") == F.col("_i"), "left_anti"), "negative of no face"))
+
+
+def commit_prepared(photos: DataFrame, faces: DataFrame, prepared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(photos, faces) after a batch of decoded files.
+
+    prepared: a row a file with path, other indexed columns, and embedding and phash, which replace
+    the old ones only where they are given. found: the faces in them (path, and the columns of
+    faces but id and photo_id). Labels that persons gave carry over to the new faces that overlap the
+    old ones most; the files' other faces are replaced, and the counts are those of the new faces.
+    """
+    out = upsert_photos(photos, prepared.drop("embedding", "phash"))
+    extra = [c for c in ("embedding", "phash") if c in prepared.columns and c in photos.columns]
+    new = prepared.select(F.col("path").alias("_path"), *[F.col(c).alias(f"_{c}") for c in extra])
+    out = checkpointed(out.join(new, F.col("path") == F.col("_path"), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in extra}).drop("_path", *[f"_{c}" for c in extra]))
+    batch = out.join(prepared.select("path"), "path", "left_semi").select(F.col("id").alias("photo_id"), "path")
+    top = faces.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = found.join(batch, "path").withColumn("_order", F.struct("photo_id", "bbox"))
+    fresh = _new_ids(fresh, top, "_order").drop("_order", "path")
+    fresh = checkpointed(fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None).cast(faces.schema[c].dataType)).alias(c) for c in faces.columns]))
+    old = faces.join(batch.select("photo_id"), "photo_id", "left_semi")
+    kept = carry_labels(old, fresh).select(F.col("new_id").alias("_id"), F.col("person_id").alias("_who"))
+    fresh = fresh.join(kept, F.col("id") == F.col("_id"), "left")
+    fresh = fresh.withColumns({"person_id": F.coalesce("_who", "person_id"), "confidence": F.when(F.col("_who").isNotNull(), 1.0).otherwise(F.col("confidence"))}).drop("_id", "_who")
+    rest = faces.join(batch.select("photo_id"), "photo_id", "left_anti").select(*faces.columns)
+    faces = rest.unionByName(fresh.select(*faces.columns))
+    return recount(out, faces), faces

@@ -74,3 +74,9 @@ def relabel_clusters(faces: DataFrame, clusters: DataFrame) -> DataFrame:
     new = clusters.join(number, "cluster").select(F.col("id").alias("_id"), "k")
     out = faces.join(new, F.col("id") == F.col("_id"), "left")
     return out.withColumn("cluster_id", F.when(F.col("person_id").isNull(), F.col("k"))).drop("_id", "k")
+
+
+def vetoes(negatives: DataFrame, faces: DataFrame) -> DataFrame:
+    """id, person_id, embedding: what the faces look like that were said not to be a person."""
+    f = faces.filter("embedding is not null").select("id", "embedding")
+    return negatives.join(f, F.col("face_id") == F.col("id")).select("id", negatives["person_id"], "embedding")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Scene labels, in display order.
+#: Scene labels, in display order.
 SCENES = ("people", "animals", "landscape", "plants", "food", "vehicle", "building", "document", "screenshot", "other")
 SEARCHED = ("filename", "place_city", "place_country", "place_label", "folder_place", "camera_make", "camera_model")
 _DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
@@ -51,6 +51,11 @@ def escape_like(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def union(existing: Any, derived: Any) -> list[Any]:
+    """Both lists' items, each once, in order."""
+    return list(dict.fromkeys([*as_list(existing), *as_list(derived)]))
+
+
 def _any(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cs)
 

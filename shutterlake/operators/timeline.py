@@ -70,6 +70,11 @@ def on_this_day(photos: DataFrame, month: int, day: int, per_year: int = 24) ->
     return first.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= per_year, F.struct("k", "id")))), lambda s: s["id"]).alias("sample"))
 
 
+def memories_total(found: DataFrame) -> DataFrame:
+    """total: photos of the day over all years."""
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
 def nearest_city(points: DataFrame, cities: DataFrame) -> DataFrame:
     """points with the name, country and distance of the nearest city; the first listed of equals.
 

@@ -235,6 +235,7 @@ _add("phash_pairs", lambda c: bursts.linked(c.timeline, 10, 300.0), "SELECT grea
 _add("bursts", lambda c: bursts.bursts(c.timeline, 10, 300.0), "SELECT * FROM o", _BURST)
 _add("burst_cover", lambda c: bursts.bursts(c.timeline, 10, 300.0).filter("position = 1").select("burst", F.col("id").alias("cover"), "size"), 'SELECT burst, id AS cover, size FROM o WHERE "position" = 1', _BURST)
 _add("burst_summary", lambda c: bursts.redundant(bursts.bursts(c.timeline, 10, 300.0)), 'SELECT count(DISTINCT burst) AS "groups", count(*) FILTER (WHERE "position" > 1) redundant FROM o', _BURST)
+_add("memories_total", lambda c: timeline.memories_total(timeline.on_this_day(c.photos, 6, 16)), "SELECT CAST(count(*) AS BIGINT) total FROM photos WHERE substr(taken_at, 6, 2) = '06' AND substr(taken_at, 9, 2) = '16'")
 _CITIES = (("Rome", "Italy", 41.9, 12.5), ("Paris", "France", 48.85, 2.35), ("Oslo", "Norway", 59.9, 10.75), ("Cairo", "Egypt", 30.04, 31.24), ("Sydney", "Australia", -33.87, 151.2), ("Lima", "Peru", -12.05, -77.04))
 _CITY_ROWS = ", ".join(f"({i}, '{n}', '{s}', {a}::DOUBLE, {o}::DOUBLE)" for i, (n, s, a, o) in enumerate(_CITIES))
 _add(
@@ -306,6 +307,13 @@ _add(
 )
 
 
+_add(
+    "vetoes",
+    lambda c: people.vetoes(c.vectors.filter("id % 10 = 3").select(F.col("id").alias("face_id"), ((F.col("label") + 1) % 10).alias("person_id")), c.vectors).select("id", "person_id"),
+    "SELECT id, (label + 1) % 10 person_id FROM vectors WHERE id % 10 = 3",
+)
+
+
 def _library(c: StarCatalog) -> DataFrame:
     faces = c.vectors.select("id", "photo_id", F.when(F.col("id") % 5 == 0, F.col("label")).alias("person_id"), F.lit(99).alias("cluster_id"), "embedding")
     return people.relabel_clusters(faces, entity.dbscan(faces.filter("person_id is null").select("id", "embedding"), 0.6, 2)).select("id", "person_id", "cluster_id")

@@ -72,3 +72,19 @@ def copy_files(plan: DataFrame) -> dict[str, int]:
 
     copied = plan.filter(there("path") & there("target")).count()
     return {"requested": asked, "copied": copied, "missing": asked - copied}
+
+
+def delete_files(paths: DataFrame) -> int:
+    """Unlink the files (path) from the executors; how many were there."""
+
+    @F.udf("boolean")
+    def gone(p: str | None) -> bool:
+        import os
+
+        try:
+            os.unlink(p or "")
+        except OSError:
+            return False
+        return True
+
+    return paths.select(gone("path").alias("g")).filter("g").count()

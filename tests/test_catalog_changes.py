@@ -162,3 +162,23 @@ def test_demo_is_seeded(spark):
 def test_integrity(spark):
     got = {r["check"]: r["n"] for r in mutate.integrity(photos(spark), faces(spark), persons(spark).filter(F.col("id") == 5), spark.createDataFrame([(99, 5)], NEG)).collect()}
     assert got == {"face without photo": 0, "face of no person": 1, "negative of no face": 1}
+
+
+def test_prepared_files_keep_human_labels_and_vectors(spark):
+    p = photos(spark).withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "phash": F.lit("0f")})
+    box = "struct<x:int,y:int,w:int,h:int>"
+    f = faces(spark).withColumn("bbox", F.struct((F.col("id") * 100).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h")))
+    prepared = spark.createDataFrame([("/a", "a9", "s9", None), ("/n", "n", "s8", "ff")], "path string, filename string, sha1 string, phash string")
+    found = spark.createDataFrame([("/a", (101, 0, 10, 10), 0.0), ("/a", (900, 0, 10, 10), 0.0), ("/n", (0, 0, 5, 5), 0.0)], f"path string, bbox {box}, confidence double")
+    p2, f2 = mutate.commit_prepared(p, f, prepared, found)
+    rows = {r["path"]: r for r in p2.collect()}
+    assert (rows["/a"]["phash"], rows["/n"]["phash"], rows["/a"]["embedding"], rows["/n"]["id"]) == ("0f", "ff", [1.0], 3)
+    assert (rows["/a"]["face_count"], rows["/a"]["named_face_count"], rows["/n"]["face_count"], rows["/b"]["face_count"]) == (2, 1, 1, 2)
+    got = {(r["photo_id"], r["bbox"]["x"]): (r["person_id"], r["confidence"]) for r in f2.collect()}
+    assert got[(1, 101)] == (5, 1.0) and got[(1, 900)] == (None, 0.0) and (2, 300) in got and len(got) == 5
+    assert f2.select("id").distinct().count() == 5
+
+
+def test_files_are_deleted(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"1")
+    assert export.delete_files(spark.createDataFrame([(str(tmp_path / "x"),), ("/not/there",), (None,)], "path string")) == 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shutterlake import schema
 from shutterlake.engine import from_querystring, to_querystring
 from shutterlake.operators import browse, facets, people
-from shutterlake.operators.predicates import as_list, escape_like, select, validate
+from shutterlake.operators.predicates import as_list, escape_like, select, union, validate
 
 PHOTO = {"favorite": False, "is_video": False, "hidden": False, "named_face_count": 0}
 
@@ -82,6 +82,7 @@ def test_exact_camera_dates_and_hidden(spark):
 
 def test_lists_and_escapes():
     assert as_list([None, "", 0, "a"]) == [0, "a"] and as_list("a") == ["a"] and as_list(None) == []
+    assert union(["a", "b"], ["b", "", "c"]) == ["a", "b", "c"]
     assert escape_like("a%b_c\\") == "a\\%b\\_c\\\\"
 
 

@@ -115,3 +115,11 @@ def test_names_and_paths(spark):
     assert one(spark, media.is_image(F.lit("/x/A.JPG"))) and one(spark, media.is_video(F.lit("a.MOV")))
     got = one(spark, media.capture_time(F.lit(None).cast("string"), F.lit("b"), F.lit("c"), F.lit("d")))
     assert tuple(got) == ("b", "filename")
+
+
+def test_exif_maps(spark):
+    base, sub = F.create_map(F.lit("A"), F.lit("1")), F.create_map(F.lit("A"), F.lit("2"), F.lit("FNumber"), F.lit("28/10"), F.lit("ExposureTime"), F.lit("1/250"), F.lit("LensMake"), F.lit(" x "))
+    assert one(spark, media.merged_exif(base, sub))["A"] == "1"
+    got = one(spark, media.capture_settings(media.merged_exif(base, sub)))
+    assert tuple(got) == ("ƒ/2.8", "1/250s", None, None, "x")
+    assert one(spark, media.merged_exif(F.lit(None).cast("map<string,string>"), base)) == {"A": "1"}
