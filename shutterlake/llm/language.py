@@ -13,7 +13,7 @@ believed, and the hosts' priors, are then learnt from the pages themselves: each
 probabilities of the languages, and grouped sums of these count each declaration, suffix, domain
 and host. A page's own share is taken out of its host's and domain's counts before they judge it.
 
-Bounds: the models come from at most ``MOST_LABELLED`` labelled documents, the least by a hash of
+Bounds: the models come from about ``MOST_LABELLED`` labelled documents at most, chosen by a hash of
 their id; they have ``BUCKETS`` entries a language. Declarations and suffixes are joined as tables,
 hosts by a join whose hot keys Spark splits, so nothing that grows is broadcast.
 
@@ -37,7 +37,7 @@ from .common import Scratch, by_batch, table, texts
 from .url_filter import url_host, url_path
 
 BUCKETS = 1 << 15
-MOST_LABELLED = 4_000
+MOST_LABELLED, MOST_LANGUAGES = 4_000, 64
 #: Trigrams of one text overlap and repeat, so their evidence counts for less; in log units, at most MOST_TEXT.
 TEMPER, MOST_TEXT = 0.15, 12.0
 #: Pages that the level above counts for, and that a declaration or suffix must overcome.
@@ -52,7 +52,7 @@ def visible(html: bytes) -> bytes:
 
 
 def declared(html: bytes) -> str | None:
-    m = _LANG.search(html[:4096])  # the html tag stands at the top
+    m = _LANG.search(html)
     return m[1].decode().lower() if m else None
 
 
@@ -63,8 +63,15 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def fit(docs: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each bucket in each language) from labelled documents."""
-    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(most_labelled)
+    """(languages, log probability of each bucket in each language) from labelled documents.
+
+    Of more than most_labelled documents about that many take part: those whose id's hash is under
+    the share. Trigrams are counted where the documents are, and sums of buckets meet on the driver.
+    """
+    rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if n > most_labelled:
+        rows = rows.filter(F.xxhash64("doc_id", F.lit(7)) < F.lit(int((most_labelled / n - 0.5) * 2.0**64)))
 
     def count(batches):
         by: dict[str, np.ndarray] = {}
@@ -73,11 +80,15 @@ def fit(docs: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[list[str],
                 c = np.bincount(trigrams(t.lower()), minlength=BUCKETS)
                 by[lang] = by[lang] + c if lang in by else c
         for lang, c in by.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": pa.array([c], pa.list_(pa.int64()))})
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(c[at])})
 
+    sums = rows.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(count, "lang string, counts array<long>").collect():  # a row for each language and task
-        got[r["lang"]] = got.get(r["lang"], 0) + np.array(r["counts"], np.float64)
+    for r in sums.limit(MOST_LANGUAGES * BUCKETS + 1).collect():
+        got.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
+    if len(got) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(got)
     counts = np.array([got[x] for x in langs]) if langs else np.zeros((0, BUCKETS))
     counts = counts + 0.5
