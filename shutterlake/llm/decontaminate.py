@@ -18,6 +18,7 @@ the named ones are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,12 +132,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (of words, disjoint) and items (distinct item_ids as text) of each row."""
+    """doc_id, text_key, n_words, spans (of words, disjoint) and items (distinct item_ids as text) of each row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, mark binary, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
+    schema = f"doc_id {kind}, text_key long, mark binary, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
 
     def against(block: DataFrame) -> DataFrame:
         rows = [(r["item_id"], (r["text"] or "").encode()) for r in block.collect()]  # bounded by block_bytes
@@ -153,6 +154,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 marks.append(hashlib.md5(text).digest() if parts > 1 else b"")
             yield {
                 "doc_id": batch.column("doc_id"),
+                "text_key": batch.column("text_key"),
                 "mark": pa.array(marks, pa.binary()),
                 "n_words": pa.array(n_words, pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
@@ -170,26 +172,53 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x.filter(F.size("spans") > 0))
-    hits = hits.groupBy("doc_id", "mark", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = hits.groupBy("doc_id", "text_key", "mark", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def join_spans(batch: pa.RecordBatch):
-        out = {n: batch.column(n) for n in ("doc_id", "mark", "n_words", "spans", "items")}
+        out = {n: batch.column(n) for n in ("doc_id", "text_key", "mark", "n_words", "spans", "items")}
         merged = [[{"first": a, "end": b} for a, b in merge([(x["first"], x["end"]) for x in s])] for s in batch.column("spans").to_pylist()]
         yield out | {"spans": pa.array(merged, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))}
 
     hits = by_batch(schema, join_spans)(hits)
     rows = docs.select(F.col("doc_id").alias("d"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("m"))
-    return rows.join(hits, rows["d"].eqNullSafe(hits["doc_id"]) & (rows["m"] == hits["mark"])).select("doc_id", "n_words", "spans", "items")
+    return rows.join(hits, rows["d"].eqNullSafe(hits["doc_id"]) & (rows["m"] == hits["mark"])).select("doc_id", "text_key", "n_words", "spans", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row.
+def is_contaminated(n_hit: int, n_words: int) -> bool:
+    """Some word is hit, and those hit are at least a twentieth of the words."""
+    return n_hit > 0 and 20 * n_hit >= n_words
 
-    contaminated: some word is hit, and those hit are at least a twentieth of the words.
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated.
+
+    With one block of items each row is judged where it stands, and no text is shuffled; with more,
+    rows are joined back to their verdict by doc_id and text.
     """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = _blocks(items, block_bytes)
+    if len(blocks) > 1:
+        bad = decontaminate(docs, benchmark, window=window, gram=gram, block_bytes=block_bytes, keyed=True).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__key"]), "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(Items([(r["item_id"], (r["text"] or "").encode()) for r in blocks[0].collect()], window, gram))  # bounded by block_bytes
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            verdicts = []
+            for t in texts(b):
+                w = identities(plain_words(t))
+                spans, _ = index.value.matches(w)
+                verdicts.append(not is_contaminated(sum(e - a for a, e in merge(spans)), len(w)))
+            yield b.filter(pa.array(verdicts, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keyed: bool = False, **how) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row; keyed: and text_key."""
     h = benchmark_hits(docs, benchmark, **how)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
-    h = h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    h = h.select("doc_id", *(["text_key"] if keyed else []), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     return h.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

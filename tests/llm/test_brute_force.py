@@ -333,6 +333,9 @@ def test_decontamination_equals_all_windows(spark, block_bytes):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, h, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()), i
         assert r["contaminated"] == (h > 0 and 20 * h >= n)
+    wide = spark.createDataFrame([(i, t, i) for i, t in docs], DOCS + ", text_key long")
+    left = decontaminate.clean(wide, bench, block_bytes=block_bytes)
+    assert left.columns == wide.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in docs if not got[i]["contaminated"]}
 
 
 def test_kth_greatest(spark):
