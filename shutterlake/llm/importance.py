@@ -41,15 +41,15 @@ from .ranks import scramble
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 17, 1 << 12
 MOST_LABELLED = 20_000
 SMOOTH = 8.0
-_KEPT = 500_000
+_KEPT = 250_000
 #: Classes of bytes for shapes: letters by case, digits, other scripts as small letters, the rest as they are.
 _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
 def shape(word: bytes) -> bytes:
-    """Classes of the word's bytes, runs collapsed, eight at most."""
+    """Classes of the word's bytes, runs collapsed."""
     c = word.translate(_CLASS)
-    return bytes(b for i, b in enumerate(c) if not i or b != c[i - 1])[:8]
+    return bytes(b for i, b in enumerate(c) if not i or b != c[i - 1])
 
 
 class _Codes(dict):
@@ -176,7 +176,11 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 1, most_
     scratch = Scratch(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("target").cast("boolean").alias("target")).dropna().groupBy("id").agg(F.min("target").alias("target"))
-    sample = {r["id"]: r["target"] for r in known.orderBy(F.xxhash64("id"), "id").limit(most_labelled).collect()}  # at most most_labelled rows
+    n = known.count()
+    if n > most_labelled:  # a share by hash, a little over what is asked for; then the least hashes
+        known = known.filter(F.xxhash64("id") < F.lit(int((min(1.0, 1.05 * most_labelled / n + 1e-9) - 0.5) * (2.0**64 - 2048))))
+    drawn = known.select("id", "target", F.xxhash64("id").alias("h")).collect()  # about 1.05 * most_labelled rows
+    sample = {r["id"]: r["target"] for r in sorted(drawn, key=lambda r: (r["h"], r["id"]))[:most_labelled]}
     target_ids = np.array(sorted(i for i, t in sample.items() if t), np.int64)
 
     counts = docs.mapInArrow(_count(target_ids), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))

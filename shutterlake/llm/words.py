@@ -10,7 +10,7 @@ from .ranks import scramble
 #: A-Z to a-z; digits, letters and bytes of other scripts as they are; all else parts words.
 _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_KEPT = 500_000
+_KEPT = 250_000
 
 
 class Identities(dict):
