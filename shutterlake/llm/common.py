@@ -11,14 +11,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch between Spark and Python. A task holds some batches on either side, joined
+#: rows of two texts among them, so this bounds its memory whatever the texts' lengths are.
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session cut Arrow batches at BATCH_BYTES, unless it cuts them smaller."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str(64 << 20))
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:  # noqa: SLF001
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's reader opens the path."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is dealt by key at every size: it grows with the corpus, so it isn't to be broadcast where it happens to be small."""
+    return df.hint("merge")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -41,6 +58,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.top = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._fs(self.top, "deleteOnExit")
@@ -60,6 +78,18 @@ class Scratch:
         for n in names:
             self._fs(f"{self.top}/{n}", "delete")
 
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """df saved, and every other table dropped: a small result that stands alone."""
+        out = self.save(df, name)
+        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
+        top = jvm.org.apache.hadoop.fs.Path(self.top)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+        for s in fs.listStatus(top):
+            if s.getPath().getName() != name:
+                fs.delete(s.getPath(), True)
+        self.settle()
+        return out
+
     def settle(self) -> None:
         """Let Spark drop the shuffle files of plans that are done."""
         import gc

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch, table, texts
+from .common import Scratch, by_batch, dealt, table, texts
 from .components import UnionFind, components
 from .superminhash import bands, brief, signature
 from .words import identities, runs, spaced_words
@@ -203,37 +203,44 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = by_batch(f"doc_id {kind}, n_shingles long, mark binary, text_key long, sig binary, bands array<long>", _describe(words, slots, rows))(docs)
     described = scratch.save(described, "described")
-    per_doc = described.select("doc_id", "n_shingles", "mark")
+    per_doc = scratch.save(described.select("doc_id", "n_shingles", "mark"), "per-doc")
     named = described.filter("n_shingles > 0")
     node = F.coalesce(F.min("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("mark"), 2))
     classes = named.groupBy("mark").agg(node.alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
+    nodes = scratch.save(classes.select("mark", "node"), "nodes")
+    scratch.drop("described")
+    scratch.settle()
 
-    # candidates: classes that share a band with another
+    # candidates: classes that share a band with another; groups are written before they are joined,
+    # so that both sides are dealt for the join and a band that very many classes share can be split
     banded = classes.select(F.explode("bands").alias("h"), "node")
-    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = scratch.save(banded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
     members = scratch.save(banded.join(shared, "h"), "members")
     weight = members.groupBy("node").agg(F.sum("c").alias("w"))
     ranked = members.join(weight, "node")
     heads = ranked.groupBy("h").agg(F.max(F.struct("w", (-F.col("node")).alias("minus"))).alias("top")).select("h", (-F.col("top.minus")).alias("head"))
+    heads = scratch.save(heads, "heads")
     star = members.join(heads, "h").filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
 
     likely = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", "sig", "bands")
     likely = scratch.save(likely, "likely")
+    scratch.drop("classes")
     side = lambda s: likely.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
     sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     star = by_batch("a long, b long", _agreement)(star.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow).select("a", "b", "sig_a", "sig_b"))
     star = scratch.save(star, "star")
+    scratch.settle()
 
     # texts of the classes that any verification may need
     reps = likely.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
-    full = docs.join(reps, (docs["text_key"] == reps["rep_key"]) & docs["doc_id"].eqNullSafe(reps["rep_id"])).select("node", "text").dropDuplicates(["node"])
+    full = docs.join(dealt(reps), (docs["text_key"] == reps["rep_key"]) & docs["doc_id"].eqNullSafe(reps["rep_id"])).select("node", "text").dropDuplicates(["node"])
     full = scratch.save(full, "full")
     scratch.settle()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         t = lambda s: full.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-        return scratch.save(pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), name)
+        return scratch.save(pairs.join(dealt(t("a")), "a").join(dealt(t("b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), name)
 
     links = verified(star, "links-1")
     comps = scratch.save(components(links, scratch, "cc1"), "comps-1")
@@ -243,25 +250,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rest = members.filter("c > 2").join(heads, "h").filter("node <> head").drop("head")
     rest = rest.join(of(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    rest = rest.join(split, "h")
+    rest = rest.join(scratch.save(split, "split"), "h")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     rest = rest.withColumn("o", other).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
     rest = rest.join(likely.select("node", "sig", "n", "bands"), "node").select(*_ROW)
-    dealt = lambda df: df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    rest = scratch.save(dealt(rest).mapInArrow(_open_members(percent), "h long, i int, j int, node long, comp long, sig binary, n long, block int, bands array<long>"), "rest")
+    in_blocks = lambda df: df.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    rest = scratch.save(in_blocks(rest).mapInArrow(_open_members(percent), "h long, i int, j int, node long, comp long, sig binary, n long, block int, bands array<long>"), "rest")
     if not rest.isEmpty():
-        more = dealt(rest.join(full, "node").select(*_ROW, "text")).mapInArrow(_links(words, percent), "a long, b long")
+        more = in_blocks(rest.join(dealt(full), "node").select(*_ROW, "text")).mapInArrow(_links(words, percent), "a long, b long")
         more = scratch.save(more, "links-2")
         if not more.isEmpty():
             comps = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comps-2")
 
-    scratch.drop("full", "rest", "star", "members", "likely")
-    known = classes.select("mark", "node").join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"))
+    scratch.drop("full", "rest", "star", "members", "likely", "shared", "heads", "split")
+    known = nodes.join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"))
     out = per_doc.join(known, per_doc["mark"] == known["m"], "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("c") < NAMELESS, F.col("c")).cast(kind)
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return scratch.only(out, "result")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

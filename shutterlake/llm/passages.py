@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch, table, texts
+from .common import Scratch, by_batch, dealt, table, texts
 from .decontaminate import merge
 from .ranks import anchors, doubled, pair, scramble
 
@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     on = scratch.save(on, "on-0")
 
     asked = on.groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "w")).alias("units"))
-    around = docs.join(asked, "key").dropDuplicates(["key"])
+    around = docs.join(dealt(asked), "key").dropDuplicates(["key"])
     around = scratch.save(by_batch("key binary, p int, lo int, hi int, w int, n int, at int, bytes binary", _contexts)(around), "around")
     scratch.drop("shared", "on-0", "hulls-0", "cores-0")
     scratch.settle()
@@ -182,13 +182,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if k == 1:
             wide = around
         else:
-            wide = on.join(around.select("key", "p", "n", "at", "bytes"), ["key", "p"])
+            wide = on.join(dealt(around.select("key", "p", "n", "at", "bytes")), ["key", "p"])
         units = scratch.save(_units(step)(wide.select("key", "p", "lo", "hi", "w", "n", "at", "bytes")), f"units-{k}")
         again, on = _rerank(units, scratch, str(k))
         found.append(scratch.save(again, f"again-{k}"))
         if step > 1:
             on = scratch.save(on, f"on-{k}")
         scratch.drop(f"units-{k}", f"on-{k - 1}", f"hulls-{k}", f"cores-{k}")
+        scratch.settle()
     scratch.drop("around")
     windows = found[0]
     for x in found[1:]:
@@ -199,10 +200,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield {"key": batch.column("key"), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))}
 
     grouped = windows.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))
-    spans = scratch.save(by_batch("key binary, spans array<struct<first:long,end:long>>", join_spans)(grouped), "spans")
-    scratch.drop(*(f"again-{k}" for k in range(len(STEPS) + 1)))
-    scratch.settle()
-    return spans
+    return scratch.only(by_batch("key binary, spans array<struct<first:long,end:long>>", join_spans)(grouped), "spans")
 
 
 def kept_bytes(text: bytes, spans: list[dict]) -> bytes:
@@ -218,7 +216,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans, kept (the bytes that stay) of each row."""
     spans = repeated_spans(docs).select(F.col("key").alias("k"), "spans")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = docs.join(spans, text_key(docs["text"]) == spans["k"], "left").drop("k")
+    joined = docs.join(dealt(spans), text_key(docs["text"]) == spans["k"], "left").drop("k")
 
     def cut(batch: pa.RecordBatch):
         kept = [kept_bytes(t, s) for t, s in zip(texts(batch), batch.column("spans").to_pylist(), strict=True)]
@@ -231,7 +229,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs).select(F.col("key").alias("k"), "spans")
-    joined = docs.join(spans, text_key(docs["text"]) == spans["k"], "left").drop("k")
+    joined = docs.join(dealt(spans), text_key(docs["text"]) == spans["k"], "left").drop("k")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
