@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import decontaminate, importance, mixing, near_dups, passages
-from shutterlake.llm.common import Scratch, by_batch, table, texts
+from shutterlake.llm.common import Scratch, by_batch, dealt, table, texts
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (doc_id)."""
     ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    return docs.join(dealt(ids), docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Bytes of passages that stand elsewhere too go; of a character cut in two nothing stays."""
     spans = passages.repeated_spans(docs).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     cols, schema = docs.columns, docs.schema
-    joined = docs.join(spans, passages.text_key(docs["text"].cast("string")) == spans["__key"], "left").drop("__key")
+    joined = docs.join(dealt(spans), passages.text_key(docs["text"].cast("string")) == spans["__key"], "left").drop("__key")
 
     def cut(batch: pa.RecordBatch):
         before, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
