@@ -58,28 +58,41 @@ def _rank(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return pair(left, pair(names[end - 256], (end - start).astype(np.uint64)))
 
 
-def first_units(text: bytes) -> tuple[np.ndarray, ...]:
-    """(core rank, hull rank, anchor, first window, last window) of each anchor of a text."""
+def first_units(text: bytes, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """(core rank, hull rank, anchor, first window, last window) of each anchor of a text; an anchor stands once."""
     parts = []
-    for c in range(0, len(text) - LENGTH + 1, CHUNK):
-        data = np.frombuffer(text[c : c + CHUNK + LENGTH - 1], np.uint8)
+    for c in range(0, len(text) - LENGTH + 1, chunk):
+        data = np.frombuffer(text[c : c + chunk + LENGTH - 1], np.uint8)
         names = doubled(data, (FIRST, 256))
         p, lo, hi = anchors(names[FIRST], LENGTH - FIRST + 1)
         parts.append((names[FIRST][p], _rank(names[256], lo, hi + LENGTH), p + c, lo + c, hi + c))
-    return tuple(np.concatenate([x[i] for x in parts]) for i in range(5)) if parts else ()
-
-
-def _scan(batch: pa.RecordBatch):
-    counts, cols = [], [[] for _ in range(5)]
-    for t in texts(batch):
-        units = first_units(t) if len(t) >= LENGTH else ()
-        counts.append(len(units[0]) if units else 0)
-        for c, x in zip(cols, units, strict=False):
-            c.append(x)
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-    core, hull, p, lo, hi = (np.concatenate([*c, np.zeros(0, k)]) for c, k in zip(cols, kinds, strict=True))
-    key = batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
-    yield {"key": key, "core": core.view(np.int64), "hull": hull.view(np.int64), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+    if not parts:
+        return ()
+    core, hull, p, lo, hi = (np.concatenate([x[i] for x in parts]) for i in range(5))
+    # an anchor whose windows lie in several parts is one unit: its first part's, to its last part's end
+    start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    end = np.concatenate([start[1:], [len(p)]]) - 1
+    last = hi[end]
+    for u, v in zip(start[end > start].tolist(), last[end > start].tolist(), strict=True):
+        data = np.frombuffer(text[lo[u] : v + LENGTH], np.uint8)
+        hull[u] = _rank(doubled(data, (256,))[256], np.array([0]), np.array([len(data)]))[0]
+    return core[start], hull[start], p[start], lo[start], last
+
+
+def _scan(chunk: int):
+    def scan(batch: pa.RecordBatch):
+        counts, cols = [], [[] for _ in range(5)]
+        for t in texts(batch):
+            units = first_units(t, chunk) if len(t) >= LENGTH else ()
+            counts.append(len(units[0]) if units else 0)
+            for c, x in zip(cols, units, strict=False):
+                c.append(x)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+        core, hull, p, lo, hi = (np.concatenate([*c, np.zeros(0, k)]) for c, k in zip(cols, kinds, strict=True))
+        key = batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+        yield {"key": key, "core": core.view(np.int64), "hull": hull.view(np.int64), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+
+    return scan
 
 
 def _contexts(batch: pa.RecordBatch):
@@ -158,11 +171,11 @@ def _rerank(units: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, D
     return again, on
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """key, spans: for each text (by text_key) that loses bytes, the disjoint byte ranges it loses."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
-    units = by_batch("key binary, core long, hull long, p int, lo int, hi int", _scan)(docs.filter(F.octet_length("text") >= LENGTH))
+    units = by_batch("key binary, core long, hull long, p int, lo int, hi int", _scan(chunk))(docs.filter(F.octet_length("text") >= LENGTH))
     units = scratch.save(units, "units")
     company = units.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     company = scratch.save(company, "company")

@@ -297,6 +297,26 @@ def test_repeated_passages_equal_all_windows(spark, monkeypatch):
         assert (got[i]["kept"], len(got[i]["spans"] or [])) == (kept, spans), i
 
 
+def test_first_units_do_not_depend_on_parts():
+    t = bytes(random.Random(1).choices(b"abcd ", k=6000))
+    whole = [x.tolist() for x in passages.first_units(t)]
+    assert len(set(whole[2])) == len(whole[2])
+    for chunk in (100, 337, 900, 1000):
+        assert [x.tolist() for x in passages.first_units(t, chunk)] == whole
+
+
+def test_bytes_at_the_edges_of_parts_stay(spark):
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choices("abcd ", k=k))
+    shared = text(700)
+    rows = [text(9000), text(2000) + shared + text(3000), text(1111) + shared]
+    docs = spark.createDataFrame(list(enumerate(rows)), DOCS)
+    got = {r["key"]: [(s["first"], s["end"]) for s in r["spans"]] for r in passages.repeated_spans(docs, chunk=900).collect()}
+    for t, gone in zip(rows, removed_plainly([t.encode() for t in rows]), strict=True):
+        spans = got.get(hashlib.md5(t.encode()).digest(), [])
+        assert [any(a <= j < e for a, e in spans) for j in range(len(t))] == gone
+
+
 def hits_plainly(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = words(text), set(), set()
