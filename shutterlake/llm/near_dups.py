@@ -8,7 +8,7 @@ the start, so copies cost no pairs. Classes get SuperMinHash signatures of 192 s
 1. star: of each band's group, every member is paired with the member that stands in the most and
    largest groups (the likely original);
 2. rest: where the links so far leave a group in several components, all pairs across components
-   whose signatures agree enough (0.72, five standard errors under the limit) and whose sizes
+   whose signatures agree enough (five standard errors under the limit: 0.72) and whose sizes
    allow the limit, each in the first band that the two share. Large groups are dealt out in
    blocks against blocks. First the members that have such a partner are found, then their texts
    join them, and each block verifies its pairs, the most alike first, passing over those that its
@@ -40,8 +40,8 @@ from .superminhash import bands, brief, signature
 from .words import identities, runs, spaced_words
 
 WORDS, SLOTS, ROWS = 5, 192, 6
-#: Least likeness, in hundredths, and the signatures' agreement under which a pair isn't verified.
-PERCENT, AGREE = 85, 0.72
+#: Least likeness, in hundredths.
+PERCENT = 85
 #: Members of a block when a large group is dealt out.
 BLOCK = 256
 #: Classes whose members have no doc_id have numbers from here on.
@@ -66,6 +66,12 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def least_agreement(percent: int, slots: int) -> float:
+    """The signatures' agreement under which a pair isn't verified: five standard errors under the limit."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / slots) ** 0.5
+
+
 def _describe(n: int, slots: int, rows: int):
     def f(batch: pa.RecordBatch):
         size, mark, sig, band = [], [], [], []
@@ -88,11 +94,15 @@ def _describe(n: int, slots: int, rows: int):
     return f
 
 
-def _agreement(batch: pa.RecordBatch):
+def _agreement(percent: int):
     """Pairs whose signatures agree enough to be worth verification."""
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-    keep = pa.array((a == b).mean(axis=1) >= AGREE)
-    yield {c: batch.column(c).filter(keep) for c in ("a", "b")}
+
+    def run(batch: pa.RecordBatch):
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+        keep = pa.array((a == b).mean(axis=1) >= least_agreement(percent, a.shape[1]))
+        yield {c: batch.column(c).filter(keep) for c in ("a", "b")}
+
+    return run
 
 
 def _verify(n: int, percent: int):
@@ -135,7 +145,7 @@ class _Block:
         at = np.flatnonzero(ok)
         at = at[np.argmax(self.bands[at] == self.bands[x], axis=1) == self.band] if len(at) else at
         agree = (self.sig[at] == self.sig[x]).mean(axis=1) if len(at) else np.zeros(0)
-        good = agree >= AGREE
+        good = agree >= least_agreement(self.percent, self.sig.shape[1])
         return at[good], agree[good]
 
 
@@ -228,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     scratch.drop("classes")
     side = lambda s: likely.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
     sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    star = by_batch("a long, b long", _agreement)(star.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow).select("a", "b", "sig_a", "sig_b"))
+    star = by_batch("a long, b long", _agreement(percent))(star.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow).select("a", "b", "sig_a", "sig_b"))
     star = scratch.save(star, "star")
     scratch.settle()
 

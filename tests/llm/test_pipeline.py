@@ -37,6 +37,14 @@ def test_stages(spark, sf, tmp_path):
     assert sorted((r["doc_id"], r["taken"]) for r in whole) == sorted((r["doc_id"], r["taken"]) for r in last)
 
 
+def test_near_copies_of_eighty_hundredths_go(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:181] + [f"x{i}" for i in range(19)])), (3, " ".join(words[:175] + [f"y{i}" for i in range(25)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")  # likenesses 177/215 and 171/221
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {1, 3}
+    assert 0.72 < near_dups.least_agreement(85, 192) < 0.7215 and 0.65 < near_dups.least_agreement(80, 190) < 0.66
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_of_nothing(spark, sf, stage):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
