@@ -11,6 +11,11 @@ the document, and the k greatest are kept.
 k is the number of documents that the models take for target texts: those whose log weight is over
 the limit that parts the labelled target texts from the other labelled ones best.
 
+Toxic texts are judged on their own and never drawn: a few strong words in hundreds say it, which
+the sum over all n-grams buries. A text's toxicity is the sum of its ``STRONGEST`` words' log
+(share of toxic labelled texts that have the word / share of the others), words that no toxic
+labelled text has saying nothing, and the limit parts labelled toxic texts from labelled target ones.
+
 A text that the target model was fitted on is weighed without its own share in it.
 
 Bounds: the models are fitted on at most ``MOST_LABELLED`` labelled documents, the least by a hash
@@ -41,6 +46,8 @@ from .ranks import scramble
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 17, 1 << 12
 MOST_LABELLED = 20_000
 SMOOTH = 8.0
+#: The words that a text's toxicity is summed over, and how many texts their shares are drawn to one half by.
+STRONGEST, DRAWN = 5, 2.0
 _KEPT = 250_000
 #: Classes of bytes for shapes: letters by case, digits, other scripts as small letters, the rest as they are.
 _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -107,23 +114,47 @@ class Model:
         return float(self._ratio(np.maximum(self.target[at] - n, 0), self.raw[at], self.share[at]) @ n)
 
 
+class Toxicity:
+    """Which words tell toxic labelled texts from the others, by the number of texts that have them."""
+
+    def __init__(self, toxic: np.ndarray, rest: np.ndarray, n_toxic: int, n_rest: int):
+        self.counts, self.sizes, self.known = (toxic, rest), (n_toxic, n_rest), n_toxic > 0 and n_rest > 0
+
+    def of(self, grams: np.ndarray, is_toxic: bool | None) -> float:
+        """Toxicity of a text; one with a label (is_toxic) is judged without its own share."""
+        at = np.unique(grams[grams < WORD_BUCKETS])
+        if not self.known or not len(at):
+            return 0.0
+        own = (is_toxic is True, is_toxic is False)
+        has = [np.maximum(c[at] - o, 0) for c, o in zip(self.counts, own, strict=True)]
+        share = [(h + DRAWN) / (n - o + 2 * DRAWN) for h, n, o in zip(has, self.sizes, own, strict=True)]
+        said = np.where(has[0] > 0, np.log(share[0] / share[1]), 0.0)
+        return float(np.sort(said)[-STRONGEST:].sum())
+
+
 def _among(ids: pa.Array, some: np.ndarray) -> np.ndarray:
     ids = ids.cast(pa.int64())
     return np.isin(ids.fill_null(0).to_numpy(), some) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _count(target_ids: np.ndarray):
+def _count(target_ids: np.ndarray, toxic_ids: np.ndarray, rest_ids: np.ndarray):
+    """Counts of n-grams; and of toxic and other labelled texts by word, in the last bucket of all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = WORD_BUCKETS + SHAPE_BUCKETS
-        raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        n = WORD_BUCKETS + SHAPE_BUCKETS + 1
+        raw, target, toxic, rest = (np.zeros(n, np.int64) for _ in range(4))
         for b in batches:
             mine = _among(b.column("doc_id"), target_ids)
             grams = [ngrams(t) for t in texts(b)]
             raw += np.bincount(np.concatenate(grams), minlength=n)
             if good := [g for g, m in zip(grams, mine.tolist(), strict=True) if m]:
                 target += np.bincount(np.concatenate(good), minlength=n)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
+            for ids, has in ((toxic_ids, toxic), (rest_ids, rest)):
+                for i in np.flatnonzero(_among(b.column("doc_id"), ids)).tolist():
+                    has[np.unique(grams[i][grams[i] < WORD_BUCKETS])] += 1
+                    has[-1] += 1
+        at = np.flatnonzero(raw + toxic + rest)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32))} | {c: pa.array(x[at]) for c, x in (("raw", raw), ("target", target), ("toxic", toxic), ("rest", rest))})
 
     return run
 
@@ -170,54 +201,67 @@ def limit_between(good: list[float], bad: list[float]) -> float:
 def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 1, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """doc_id, text_key, n_ngrams, log_weight, score, kept for each row of docs (doc_id, text).
 
-    labels: doc_id and target (true for texts of the target kind).
+    labels: doc_id, target (true for texts of the target kind), and toxic (true for texts never to be kept) or no such column.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("target").cast("boolean").alias("target")).dropna().groupBy("id").agg(F.min("target").alias("target"))
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("target").cast("boolean").alias("target"), (F.col("toxic").cast("boolean") if "toxic" in labels.columns else F.lit(False)).alias("toxic"))
+    known = known.dropna(subset=["id", "target"]).groupBy("id").agg(F.min("target").alias("target"), F.max(F.coalesce("toxic", F.lit(False))).alias("toxic"))
     n = known.count()
     if n > most_labelled:  # a share by hash, a little over what is asked for; then the least hashes
         known = known.filter(F.xxhash64("id") < F.lit(int((min(1.0, 1.05 * most_labelled / n + 1e-9) - 0.5) * (2.0**64 - 2048))))
-    drawn = known.select("id", "target", F.xxhash64("id").alias("h")).collect()  # about 1.05 * most_labelled rows
-    sample = {r["id"]: r["target"] for r in sorted(drawn, key=lambda r: (r["h"], r["id"]))[:most_labelled]}
+    drawn = known.select("id", "target", "toxic", F.xxhash64("id").alias("h")).collect()  # about 1.05 * most_labelled rows
+    drawn = sorted(drawn, key=lambda r: (r["h"], r["id"]))[:most_labelled]
+    sample, toxic = {r["id"]: r["target"] for r in drawn}, {r["id"] for r in drawn if r["toxic"]}
     target_ids = np.array(sorted(i for i, t in sample.items() if t), np.int64)
 
-    counts = docs.mapInArrow(_count(target_ids), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS), np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
-    for r in counts.collect():  # at most as many rows as buckets
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    model = spark.sparkContext.broadcast(Model(target, raw))
+    toxic_ids, rest_ids = np.array(sorted(toxic), np.int64), np.array(sorted(sample.keys() - toxic), np.int64)
+
+    kinds = ("raw", "target", "toxic", "rest")
+    counts = docs.mapInArrow(_count(target_ids, toxic_ids, rest_ids), "bucket int, raw long, target long, toxic long, rest long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in kinds])
+    by_kind = np.zeros((4, WORD_BUCKETS + SHAPE_BUCKETS + 1))
+    for r in counts.collect():  # at most as many rows as buckets, and one
+        by_kind[:, r["bucket"]] = [r[c] for c in kinds]
+    model = spark.sparkContext.broadcast(Model(by_kind[1, :-1], by_kind[0, :-1]))
+    poison = spark.sparkContext.broadcast(Toxicity(by_kind[2, :WORD_BUCKETS], by_kind[3, :WORD_BUCKETS], int(by_kind[2, -1]), int(by_kind[3, -1])))
 
     def weigh(batch: pa.RecordBatch):
-        m, sizes, sums = model.value, [], []
-        for t, fitted in zip(texts(batch), _among(batch.column("doc_id"), target_ids).tolist(), strict=True):
+        m, sizes, sums, toxicity = model.value, [], [], []
+        among = [_among(batch.column("doc_id"), ids).tolist() for ids in (target_ids, toxic_ids, rest_ids)]
+        for t, fitted, is_toxic, is_rest in zip(texts(batch), *among, strict=True):
             g = ngrams(t)
             sizes.append(len(g))
             sums.append(m.weight(g, fitted))
+            toxicity.append(poison.value.of(g, True if is_toxic else False if is_rest else None))
         u = ((batch.column("noise").to_numpy() >> 11) & ((1 << 53) - 1)).astype(np.float64)
         score = np.array(sums) - np.log(-np.log((u + 0.5) / 2.0**53))
-        yield {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_ngrams": pa.array(sizes, pa.int64()), "log_weight": pa.array(sums, pa.float64()), "score": pa.array(score), "place": pa.array(sortable(score))}
+        yield {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_ngrams": pa.array(sizes, pa.int64()), "log_weight": pa.array(sums, pa.float64()), "score": pa.array(score), "place": pa.array(sortable(score)), "toxicity": pa.array(toxicity, pa.float64())}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.withColumns({"noise": F.xxhash64("doc_id", F.lit(seed)), "text_key": F.xxhash64("text")})
-    scored = scratch.save(by_batch(f"doc_id {kind}, text_key long, n_ngrams long, log_weight double, score double, place long", weigh)(keyed), "scored")
-    limit = -math.inf
+    scored = scratch.save(by_batch(f"doc_id {kind}, text_key long, n_ngrams long, log_weight double, score double, place long, toxicity double", weigh)(keyed), "scored")
+    limit, most_toxic = -math.inf, math.inf
     if sample:
         ids = spark.createDataFrame([(i,) for i in sample], "id long")
-        seen = scored.filter("n_ngrams > 0").join(F.broadcast(ids), scored["doc_id"].cast("long") == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("log_weight").alias("w")).collect()  # at most most_labelled rows
-        by = {good: [r["w"] for r in seen if sample[r["doc_id"]] is good] for good in (True, False)}
+        seen = scored.filter("n_ngrams > 0").join(F.broadcast(ids), scored["doc_id"].cast("long") == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("toxicity").alias("t")).collect()  # at most most_labelled rows
+        by = {good: [r["w"] for r in seen if sample[r["doc_id"]] is good and r["doc_id"] not in toxic] for good in (True, False)}
         limit = limit_between(by[True], by[False])
-    some = scored.filter("n_ngrams > 0")
+        poisoned, pure = [r["t"] for r in seen if r["doc_id"] in toxic], [r["t"] for r in seen if sample[r["doc_id"]]]
+        if poisoned and pure:
+            most_toxic = limit_between(poisoned, pure)
+    allowed = (F.col("n_ngrams") > 0) & (F.col("toxicity") <= F.lit(most_toxic))
+    some = scored.filter(allowed)
     k = some.filter(F.col("log_weight") > limit).count()
     least = kth_greatest(some, "place", k)
-    kept = (F.col("n_ngrams") > 0) & (F.col("place") >= least) if least is not None else F.lit(False)
-    return scored.withColumn("kept", kept).drop("place")
+    kept = allowed & (F.col("place") >= least) if least is not None else F.lit(False)
+    return scored.withColumn("kept", kept).drop("place", "toxicity")
 
 
 def target_labels(labels: DataFrame) -> DataFrame:
-    """Texts of good quality that aren't toxic are the target."""
-    return labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"))
+    """Texts of good quality that aren't toxic are the target; toxic ones are never kept."""
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
+    return labels.select("doc_id", ((F.col("quality") == 1) & ~toxic).alias("target"), toxic.alias("toxic"))
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,6 +378,15 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.1
 
 
+def test_toxic_held_out_labels_go(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fit, rest = labels.filter("doc_id % 2 = 0"), {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.filter("doc_id % 2 = 1").collect()}
+    got = {r["doc_id"]: r["kept"] for r in importance.importance_resample(docs, importance.target_labels(fit)).collect()}
+    kept = {kind: np.mean([got[i] for i, qt in rest.items() if qt == kind]) for kind in ((1, 0), (1, 1), (0, 0), (0, 1))}
+    assert kept[1, 1] < 0.15 and kept[0, 1] < 0.1 and kept[1, 0] > 0.95 and kept[0, 0] < 0.1
+
+
 def test_resampling_is_deterministic(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     run = lambda d: sorted((r["doc_id"], round(r["score"], 9), r["kept"]) for r in importance.importance_resample(d, importance.target_labels(labels)).collect())
