@@ -61,7 +61,7 @@ RULES = (
     ("CC-BY-4.0", ("CCBY4ref",)),
     ("Proprietary", ("Reserved",)),
 )
-#: Every known sentence has one of these, so a text without any has no known sentence.
+#: Every known sentence has one of these, so a text without any, whatever stands between a cue's words, has no known sentence.
 CUES = ("licen", "permission", "copyright", "warrant", "redistribut", "compliance", "free software", "rights reserved")
 CUT = r"[.!?;:]+(\s+|$)|\n+"
 GAP = "<>"
@@ -74,7 +74,7 @@ def sentence_ids(text: Column) -> Column:
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     sentences = F.filter(F.transform(F.split(low, CUT), plain), lambda s: s != "")
     ids = F.array_join(F.transform(sentences, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(GAP))), "")
-    return F.when(F.regexp_like(low, F.lit("|".join(CUES))), ids).otherwise(F.lit(""))
+    return F.when(F.regexp_like(low, F.lit("|".join(CUES).replace(" ", "[^a-z0-9]+"))), ids).otherwise(F.lit(""))
 
 
 def recognise(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:

@@ -51,6 +51,14 @@ def test_licences(spark):
     assert all(any(c in s for c in licenses.CUES) for s in licenses.SENTENCES)
 
 
+def test_cues_with_other_characters_between(spark):
+    rows = list(enumerate(["All rights  reserved.", "All rights\treserved.", "All rights\u00a0reserved.", "All-rights-reserved", "<b>All rights</b> reserved"]))
+    got = {r["doc_id"]: (r["licenses"], r["n_known"]) for r in licenses.recognise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: ("Proprietary", 1) for i in range(4)} | {4: ("", 0)}
+    free = [(1, "This program is free  software."), (2, "This program is free-software.")]
+    assert all(r["n_known"] == 1 for r in licenses.recognise(spark.createDataFrame(free, DOCS)).collect())
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
