@@ -34,13 +34,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that stand elsewhere too go; of a character cut in two nothing stays."""
-    spans = passages.repeated_spans(docs).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    """Passages of 400 bytes and more, or of over 50 words, that stand elsewhere too go; of a character cut in two nothing stays."""
+    both = passages.repeated_spans(docs).unionByName(passages.repeated_word_spans(docs))
+    spans = both.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
     cols, schema = docs.columns, docs.schema
     joined = docs.join(dealt(spans), passages.text_key(docs["text"].cast("string")) == spans["__key"], "left").drop("__key")
 
     def cut(batch: pa.RecordBatch):
         before, spans = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
+        spans = [[{"first": a, "end": b} for a, b in decontaminate.merge([(x["first"], x["end"]) for x in s or ()])] for s in spans]
         after = [passages.kept_bytes(b, s).decode("utf-8", "ignore") if s else t for t, b, s in zip(before, texts(batch), spans, strict=True)]
         n = [len(t) if s and t is not None else m for t, s, m in zip(after, spans, batch.column("n_chars").to_pylist(), strict=True)] if "n_chars" in cols else None
         out = {c: batch.column(c) for c in cols} | {"text": pa.array(after, batch.column("text").type)}

@@ -28,6 +28,7 @@ are such texts; an empty table gives an empty result; columns besides doc_id and
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_batch, dealt, table, texts
 from .decontaminate import merge
 from .ranks import anchors, doubled, pair, scramble
+from .words import identities, runs
 
 LENGTH, FIRST = 400, 64
 #: Windows of a unit in the rounds after the first.
@@ -216,6 +218,53 @@ def repeated_spans(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return scratch.only(by_batch("key binary, spans array<struct<first:long,end:long>>", join_spans)(grouped), "spans")
 
 
+#: Words of a repeated passage counted in words, and of the run by which its windows choose their anchors.
+PASSAGE, RUN = 51, 8
+
+
+def repeated_word_spans(docs: DataFrame, n: int = PASSAGE) -> DataFrame:
+    """key, spans: byte ranges of each text's windows of n words (runs of [^\\x20\\x09-\\x0D], as written) that stand anywhere else too.
+
+    Each window has an anchor, the place of its least run of RUN words; equal windows have equal anchors,
+    so only windows whose anchor's run stands twice are compared as a whole.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text"))).filter(F.octet_length("text") >= 2 * n - 1)
+
+    def scan(batch: pa.RecordBatch):
+        for i, t in enumerate(texts(batch)):
+            x = runs(identities(t.split()), RUN)
+            p, lo, hi = anchors(x, n - RUN + 1)
+            yield {"key": pa.array([batch.column("key")[i].as_py()] * len(p), pa.binary()), "core": x[p].view(np.int64), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+
+    units = scratch.save(by_batch("key binary, core long, lo int, hi int", scan)(docs), "word-units")
+    company = scratch.save(units.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "word-company")
+    # equal texts have equal units: one row of each is asked for, and the join with the texts has a row of each text
+    asked = units.join(dealt(company), "core").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("units"))
+    around = scratch.save(docs.join(dealt(asked), "key").select("key", "text", "units"), "word-around")
+    scratch.drop("word-units", "word-company")
+
+    def windows(batch: pa.RecordBatch):
+        for key, t, us in zip(batch.column("key").to_pylist(), texts(batch), batch.column("units").to_pylist(), strict=True):
+            at = np.concatenate([np.arange(u["lo"], u["hi"] + 1) for u in us])
+            x = runs(identities(t.split()), n)[at]
+            yield {"key": pa.array([key] * len(at), pa.binary()), "at": at.astype(np.int32), "h": x.view(np.int64)}
+
+    found = scratch.save(by_batch("key binary, at int, h long", windows)(around), "word-windows")
+    again = scratch.save(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "word-again")
+    places = found.join(dealt(again), "h").groupBy("key").agg(F.collect_set("at").alias("at"))
+
+    def in_bytes(batch: pa.RecordBatch):
+        spans = []
+        for t, at in zip(texts(batch), batch.column("at").to_pylist(), strict=True):
+            words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+            spans.append([{"first": a, "end": b} for a, b in merge([(words[p][0], words[p + n - 1][1]) for p in at])])
+        yield {"key": batch.column("key"), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))}
+
+    told = around.select("key", "text").dropDuplicates(["key"]).join(dealt(places), "key")
+    return scratch.only(by_batch("key binary, spans array<struct<first:long,end:long>>", in_bytes)(told), "word-spans")
+
+
 def kept_bytes(text: bytes, spans: list[dict]) -> bytes:
     """What stays of a text without the spans."""
     out, at = [], 0

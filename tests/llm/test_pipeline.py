@@ -45,6 +45,17 @@ def test_near_copies_of_eighty_hundredths_go(spark, sf):
     assert 0.72 < near_dups.least_agreement(85, 192) < 0.7215 and 0.65 < near_dups.least_agreement(80, 190) < 0.66
 
 
+def test_passages_of_over_fifty_words_go(spark, sf):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    long, short, few = words("p", 51), words("q", 50), " ".join("é" * 250 + str(i) for i in range(2))
+    rows = [(1, f"{words('a', 70)} {long}\n{words('b', 9)} {short} c d"), (2, f"{long} {words('e', 99)} {short}"), (3, f"f {few} g"), (4, f"h {few} i"), (5, None), (6, f"{words('k', 20)} {words('l', 51)} {words('m', 51)} x {words('l', 51)}")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, sf).collect()}
+    assert len(long) < 400 and got[1] == rows[0][1].replace(long, "") and got[2] == rows[1][1].replace(long, "")
+    assert got[3] == "fg" and got[4] == "hi" and got[5] is None
+    assert got[6] == rows[5][1].replace(words("l", 51), "")
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_of_nothing(spark, sf, stage):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
