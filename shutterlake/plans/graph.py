@@ -17,7 +17,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: computed once, whatever uses it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="shutterlake-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="shutterlake-"))
     return df.checkpoint()
 
 
