@@ -14,8 +14,9 @@ probabilities of the languages, and grouped sums of these count each declaration
 and host. A page's own share is taken out of its host's and domain's counts before they judge it.
 
 Bounds: the models come from about ``MOST_LABELLED`` labelled documents at most, chosen by a hash of
-their id; they have ``BUCKETS`` entries a language. Declarations and suffixes are joined as tables,
-hosts by a join whose hot keys Spark splits, so nothing that grows is broadcast.
+their id; they have ``BUCKETS`` entries a language. Sums by declaration are broadcast: there are at
+most 18,253 codes of two or three letters. Hosts, domains, last labels and suffixes grow with the
+pages, so they are dealt by key at every size, from written tables, so that Spark can split hot keys.
 
 Edge cases: null or empty html has no text and no declaration; a null url, or one without "://",
 has an empty host, which has pages like any other; without any evidence the prior of all pages
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch, table, texts
+from .common import Scratch, by_batch, dealt, table, texts
 from .url_filter import url_host, url_path
 
 BUCKETS = 1 << 15
@@ -42,17 +43,37 @@ MOST_LABELLED, MOST_LANGUAGES = 4_000, 64
 TEMPER, MOST_TEXT = 0.15, 12.0
 #: Pages that the level above counts for, and that a declaration or suffix must overcome.
 DRAW, DOUBT = 4.0, 2.0
-_HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-_LANG = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+_TAG = re.compile(rb"(?is)<!--|<(script|style)\b|<[^>]*>")
+_END = {b"script": re.compile(rb"(?is)</script\s*>"), b"style": re.compile(rb"(?is)</style\s*>")}
+_HTML = re.compile(rb"(?is)<html\b[^>]*")
+_LANG = re.compile(rb"(?is)\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
 
 
 def visible(html: bytes) -> bytes:
-    """The text outside tags, comments, scripts and styles, lower-cased as ASCII."""
-    return _HIDDEN.sub(b" ", html).lower()
+    """The text outside tags, comments, scripts and styles, lower-cased as ASCII; what isn't closed hides nothing but its tag.
+
+    One scan: it stops at the last >, and an end that isn't found once isn't looked for again.
+    """
+    out, at, unclosed, last = [], 0, set(), html.rfind(b">") + 1
+    while m := _TAG.search(html, at, last):
+        out.append(html[at : m.start()])
+        kind = m[1].lower() if m[1] else b"--" if m[0] == b"<!--" else b""
+        end = -1
+        if kind and kind not in unclosed:
+            if kind == b"--":
+                end = found + 3 if (found := html.find(b"-->", m.end())) >= 0 else -1
+            elif x := _END[kind].search(html, m.end()):
+                end = x.end()
+            if end < 0:
+                unclosed.add(kind)
+        at = m.end() if not kind else end if end >= 0 else html.find(b">", m.end()) + 1
+    return b" ".join([*out, html[at:]]).lower()
 
 
 def declared(html: bytes) -> str | None:
-    m = _LANG.search(html)
+    """The language that the first html tag declares."""
+    tag = _HTML.search(html)
+    m = _LANG.search(tag[0]) if tag else None
     return m[1].decode().lower() if m else None
 
 
@@ -100,8 +121,9 @@ def domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def _sums(df: DataFrame, by: str, langs: list[str], prefix: str) -> DataFrame:
-    return df.groupBy(by).agg(*[F.sum(F.col("t")[i]).alias(f"{prefix}{i}") for i in range(len(langs))]).withColumnRenamed(by, f"{by}_")
+def _added(arrays: Column, n: int) -> Column:
+    """The sum of arrays of n numbers, place by place."""
+    return F.array(*[F.sum(arrays[i]) for i in range(n)])
 
 
 def identify(pages: DataFrame, docs: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
@@ -134,26 +156,32 @@ def identify(pages: DataFrame, docs: DataFrame, most_labelled: int = MOST_LABELL
     rows = by_batch(f"page_id {kind}, host string, suffix string, said string, x array<double>, t array<double>", read)(rows)
     rows = scratch.save(rows.withColumns({"domain": domain(F.col("host")), "top": F.substring_index("host", ".", -1), "said": F.coalesce("said", F.lit(""))}), "read")
 
-    sums = {by: _sums(rows, by, langs, f"{by}_n") for by in ("said", "suffix", "top", "domain", "host")}
-    whole = rows.agg(*[F.coalesce(F.sum(F.col("t")[i]), F.lit(0.0)).alias(f"all{i}") for i in range(n)]).first()
+    # each level's sums come from those below; a page then meets them all in one join, by host and suffix
+    pairs = scratch.save(rows.groupBy("host", "suffix").agg(F.first("domain").alias("domain"), F.first("top").alias("top"), _added(F.col("t"), n).alias("n")), "pairs")
+    said = rows.groupBy("said").agg(_added(F.col("t"), n).alias("said_n"))  # codes of two or three letters: at most 18,253 rows
+    up = lambda df, by, keep=(), name="n": df.groupBy(by).agg(_added(F.col(name), n).alias(f"{by}_n"), *[F.first(c).alias(c) for c in keep])
+    hosts = scratch.save(up(pairs, "host", ("domain", "top")), "hosts")
+    domains = scratch.save(up(hosts, "domain", ("top",), "host_n"), "domains")
+    tops = scratch.save(up(domains, "top", (), "domain_n"), "tops")
+    suffixes = scratch.save(up(pairs, "suffix"), "suffixes")
+    whole = tops.agg(*[F.coalesce(F.sum(F.col("top_n")[i]), F.lit(0.0)).alias(f"all{i}") for i in range(n)]).first()
     total = sum(whole) or 1.0
     base = [(w + 1) / (total + n) for w in whole]
-    # levels above the host are small next to it: joined on their own keys and carried down
-    hosts = sums["host"].join(rows.groupBy("host").agg(F.first("domain").alias("domain"), F.first("top").alias("top")), F.col("host_") == F.col("host")).drop("host")
-    hosts = hosts.join(sums["domain"], F.col("domain") == F.col("domain_")).join(sums["top"], F.col("top") == F.col("top_")).drop("domain", "domain_", "top", "top_")
-    out = rows.join(hosts, rows["host"] == hosts["host_"])
-    out = out.join(sums["said"], F.col("said") == F.col("said_")).join(sums["suffix"], F.col("suffix") == F.col("suffix_"))
+    places = pairs.select("host", "suffix", "domain", "top").join(dealt(hosts.select("host", "host_n")), "host")
+    places = places.join(dealt(domains.select("domain", "domain_n")), "domain").join(dealt(tops), "top").join(dealt(suffixes), "suffix")
+    places = scratch.save(places.select("host", "suffix", "host_n", "domain_n", "top_n", "suffix_n"), "places")
+    out = rows.drop("domain", "top").join(dealt(places), ["host", "suffix"]).join(F.broadcast(said), "said")
 
     scores = []
-    tot = {by: sum((F.col(f"{by}_n{i}") for i in range(n)), F.lit(0.0)) for by in ("said", "suffix", "top", "domain", "host")}
+    tot = {by: sum((F.col(f"{by}_n")[i] for i in range(n)), F.lit(0.0)) for by in ("said", "suffix", "top", "domain", "host")}
     for i in range(n):
         own, prior = F.col("t")[i], F.lit(base[i])
         for by in ("top", "domain", "host"):
-            prior = (F.greatest(F.col(f"{by}_n{i}") - own, F.lit(0.0)) + DRAW * prior) / (F.greatest(tot[by] - 1, F.lit(0.0)) + DRAW)
+            prior = (F.greatest(F.col(f"{by}_n")[i] - own, F.lit(0.0)) + DRAW * prior) / (F.greatest(tot[by] - 1, F.lit(0.0)) + DRAW)
         score = F.col("x")[i] + F.ln(prior)
         for by in ("said", "suffix"):
             # of what is said together with this language, next to how common the language is
-            seen = (F.greatest(F.col(f"{by}_n{i}") - own, F.lit(0.0)) + DOUBT * base[i]) / (F.greatest(tot[by] - 1, F.lit(0.0)) + DOUBT)
+            seen = (F.greatest(F.col(f"{by}_n")[i] - own, F.lit(0.0)) + DOUBT * base[i]) / (F.greatest(tot[by] - 1, F.lit(0.0)) + DOUBT)
             score = score + F.when(F.col(by) == "", 0.0).otherwise(F.ln(seen / base[i]))
         scores.append(score)
     out = out.withColumn("s", F.array(*scores)).withColumn("most", F.array_max("s"))
