@@ -19,7 +19,8 @@ Every link is verified on the full sets of both texts, and the links' components
 Edge cases: A-Z are lower-cased and words are runs of [^\\x20\\x09-\\x0D]; a text of fewer than 5
 words is one shingle, all of it; null texts and texts without words are empty and linked with
 nothing; repeated rows are linked if they have a word; rows without a doc_id take part, and get the
-least id of their component, or null if it has none; an empty table gives an empty result; columns
+least id of their component, or null if it has none; rows of one doc_id and unlike texts are told
+apart, though both bear it; an empty table gives an empty result; columns
 besides doc_id and text are not read.
 """
 
@@ -44,7 +45,7 @@ WORDS, SLOTS, ROWS = 5, 192, 6
 PERCENT = 85
 #: Members of a block when a large group is dealt out.
 BLOCK = 256
-#: Classes whose members have no doc_id have numbers from here on.
+#: Classes without a doc_id of their own have numbers from here on.
 NAMELESS = 1 << 62
 
 
@@ -208,17 +209,44 @@ def _links(n: int, percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    out = groups(docs, words, percent, slots, rows)
+    comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).cast(docs.schema["doc_id"].dataType)
+    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, text_key of the documents that stay: of each group the least doc_id (null last, then the least text_key), and all without words.
+
+    Rows of equal doc_id and text are one document and stand here once, those without a doc_id too.
+    """
+    found = groups(docs, **how)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+    first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_key")
+    return first.unionByName(found.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
+
+
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key, n_shingles, group, least for each row of docs (doc_id, text).
+
+    group: a number of the component, null without words; least: its least doc_id, null if it has none.
+    """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = by_batch(f"doc_id {kind}, n_shingles long, mark binary, text_key long, sig binary, bands array<long>", _describe(words, slots, rows))(docs)
     described = scratch.save(described, "described")
-    per_doc = scratch.save(described.select("doc_id", "n_shingles", "mark"), "per-doc")
+    per_doc = scratch.save(described.select("doc_id", "text_key", "n_shingles", "mark"), "per-doc")
     named = described.filter("n_shingles > 0")
-    node = F.coalesce(F.min("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("mark"), 2))
-    classes = named.groupBy("mark").agg(node.alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = named.groupBy("mark").agg(F.min("doc_id").cast("long").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
-    nodes = scratch.save(classes.select("mark", "node"), "nodes")
+    # a class goes by its least doc_id; by a number of its own if it has none, or another class has the same
+    twice = scratch.save(classes.filter("least is not null").groupBy(F.col("least").alias("l")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("l"), "twice")
+    own, shared_ids = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("mark"), 2), not twice.isEmpty()
+    node = F.coalesce("least", own)
+    if shared_ids:
+        classes, node = classes.join(dealt(twice), F.col("least") == F.col("l"), "left"), F.when(F.col("l").isNull(), node).otherwise(own)
+    classes = classes.select("mark", "least", "rep", "n", "sig", "bands", node.alias("node"))
+    nodes = scratch.save(classes.select("mark", "node", "least"), "nodes")
     scratch.drop("described")
     scratch.settle()
 
@@ -275,10 +303,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             comps = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comps-2")
 
     scratch.drop("full", "rest", "star", "members", "likely", "shared", "heads", "split")
-    known = nodes.join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"))
+    known = nodes.join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"), "least")
+    if shared_ids:
+        known = scratch.save(known, "known")
+        known = known.drop("least").join(dealt(known.groupBy("c").agg(F.min("least").alias("least"))), "c")
+    else:
+        known = known.withColumn("least", F.when(F.col("c") < NAMELESS, F.col("c")))
     out = per_doc.join(known, per_doc["mark"] == known["m"], "left")
-    comp = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("c") < NAMELESS, F.col("c")).cast(kind)
-    out = out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "text_key", "n_shingles", F.col("c").alias("group"), "least")
     return scratch.only(out, "result")
 
 
