@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 #: Bytes of an Arrow batch between Spark and Python. A task holds some batches on either side, joined
 #: rows of two texts among them, so this bounds its memory whatever the texts' lengths are.
 BATCH_BYTES = 4 << 20
+#: Rows of an Arrow batch that a step hands back: one of few texts can be many rows.
+BATCH_ROWS = 1 << 15
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,10 +44,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or (unset, in one process as in tests) a temporary one."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)  # noqa: SLF001
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="shutterlake-")
         sc.setCheckpointDir(d)
     return str(d)
@@ -110,6 +114,8 @@ def by_batch(schema: str | T.StructType, f: Callable[[pa.RecordBatch], Iterable[
         for b in batches:
             if b.num_rows:
                 for out in f(b):
-                    yield pa.RecordBatch.from_pydict(out)
+                    rows = pa.RecordBatch.from_pydict(out)
+                    for i in range(0, rows.num_rows, BATCH_ROWS):
+                        yield rows.slice(i, BATCH_ROWS)
 
     return lambda df: df.mapInArrow(run, schema)

@@ -33,12 +33,50 @@ def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0xD6E8FEB86659FD93
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of [^\\x20\\x09-\\x0D] start and end."""
+    gap = np.concatenate([[True], _GAP[data], [True]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_names(data: np.ndarray, first: np.ndarray, end: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """64-bit names of the words at the given places, from running sums of their bytes; a piece of the text at a time."""
+    out, k = np.empty(len(first), np.uint64), 0
+    while k < len(first):
+        at = int(first[k])
+        to = max(k + 1, int(np.searchsorted(end, at + piece, "right")))
+        n = int(end[to - 1]) - at
+        if len(_POWERS[0]) <= n:
+            size = np.full(2 * n + 1, _BASE, np.uint64), np.full(2 * n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+            for i, x in enumerate(size):
+                x[0] = 1
+                _POWERS[i] = np.cumprod(x, dtype=np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data[at : at + n]] * _POWERS[0][:n], out=sums[1:])
+        a, b = first[k:to] - at, end[k:to] - at
+        out[k:to] = scramble((sums[b] - sums[a]) * _POWERS[1][a])
+        k = to
+    return out
+
+
 _BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * _MIX_A)
 
 
 def doubled(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Rank names of the byte array for the given powers of two; those longer than it are empty."""
-    names, h, out = _BYTE[data], 1, {}
+    return doubled_names(_BYTE[data], lengths)
+
+
+def doubled_names(names: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """The same from names of single places."""
+    h, out = 1, {}
     for want in sorted(lengths):
         while h < want and len(names):
             names = pair(names[:-h], names[h:]) if len(names) > h else names[:0]
@@ -47,6 +85,14 @@ def doubled(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]
     return out
 
 
+def covered(names: np.ndarray, h: int, start: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+    """Ranks of the ranges start to end, h to longest places long, from names of h places."""
+    out = scramble((end - start).astype(np.uint64))
+    for k in range(-(-longest // h)):
+        out = pair(out, names[np.minimum(start + k * h, end - h)])
+    return out
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each run of w values."""
     m, h = x, 1
