@@ -48,7 +48,114 @@ def test_licences(spark):
     rows = [(1, "text.\nReleased under the MIT License.\nmore"), (2, mit), (3, "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at"), (4, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."), (5, "no licence"), (6, None)]
     got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["n_known"], r["n_unclaimed"]) for r in licenses.recognise(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: ("MIT", 1, 1, 0), 2: ("MIT", 1, 2, 0), 3: ("Apache-2.0", 1, 3, 0), 4: ("", 0, 1, 1), 5: ("", 0, 0, 0), 6: ("", 0, 0, 0)}
-    assert all(any(c in s for c in licenses.CUES) for s in licenses.SENTENCES)
+
+
+def sentences_plainly():
+    """Every known sentence, ways to refer to a licence written out."""
+    out = {}
+    for s, i in licenses.SENTENCES.items():
+        ways = [f"{w} {says}".strip() for w in ("", *map(licenses.plain, licenses.WHAT)) for says in licenses.SAYS] if s.startswith("ref ") else [""]
+        out |= {(s.replace("ref", w, 1) if w else s): i for w in ways}
+    return out
+
+
+def licences_plainly(text, known, rules=licenses.RULES):
+    """Line by line and character by character."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").translate({13: " ", 1: " ", 2: " ", 3: " "})
+    space, groups, lines, words = " \t\n\x0b\x0c", [[]], low.split("\n"), lambda t: " ".join(re.findall("[a-z0-9]+", t))
+    for k, line in enumerate(lines):
+        if (k < len(lines) - 1 or k == 0) and not words(line) and k:
+            groups.append([])  # a blank line
+        m = re.match(r"[^a-z0-9]*(?:[0-9]{1,2}|[a-z])[.)](?=([\t-\r ])|$)", line)
+        if m and (m[1] or k < len(lines) - 1):
+            groups.append([])
+            line = line[m.end() :]
+        start = 0
+        for i, c in enumerate(line):
+            if c in ".!?;:" and (i + 1 == len(line) or line[i + 1] in space):
+                groups[-1].append(words(line[start:i]))
+                groups.append([])
+                start = i + 1
+        groups[-1].append(words(line[start:]))
+    ids = []
+    for g in groups:
+        g, i = [x for x in g if x], 0
+        while i < len(g):
+            j = next((j for j in range(len(g), i, -1) if " ".join(g[i:j]) in known), None)
+            ids.append(known[" ".join(g[i:j])] if j else "")
+            i = j or i + 1
+    n_known, found, n = sum(map(bool, ids)), [], 0
+    for name, seq in rules:
+        i = 0
+        while i + len(seq) <= len(ids):
+            if tuple(ids[i : i + len(seq)]) == seq:
+                ids[i : i + len(seq)] = [""]
+                found.append(name)
+                n += 1
+            i += 1
+    return " AND ".join(dict.fromkeys(found)), n, n_known, sum(map(bool, ids))
+
+
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance
+ * with the License. You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+GPL = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public License
+# as published by the Free Software Foundation, either version 2.1 of
+# the License, or (at your option) any later version.
+"""
+
+
+def test_wrapped_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy of the MPL was not distributed with this\r\n// file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    rows = [(1, BSD), (2, APACHE), (3, GPL), (4, mpl), (5, "some words\nlicensed under the\nMIT License\nmore words"), (6, "x\nAll rights  reserved\ny"), (7, "SPDX-License-Identifier: GPL-3.0-or-later"), (8, "/* SPDX-License-Identifier: MIT */"), (9, "This code is released under the New BSD License. It is available under\nCC BY-SA 4.0!"), (10, "a) all rights reserved"), (11, "not all rights reserved")]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["n_known"], r["n_unclaimed"]) for r in licenses.recognise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: g[0] for i, g in got.items()} == {1: "BSD-2-Clause", 2: "Apache-2.0", 3: "LGPL-2.1-or-later", 4: "MPL-2.0", 5: "MIT", 6: "Proprietary", 7: "GPL-3.0-or-later", 8: "MIT", 9: "BSD-3-Clause AND CC-BY-SA-4.0", 10: "Proprietary", 11: ""}
+    known = sentences_plainly()
+    assert got == {i: licences_plainly(t, known) for i, t in rows}
+
+
+def test_licences_equal_a_loop(spark, sf):
+    rng, known = random.Random(4), sentences_plainly()
+    some = rng.sample(sorted(known), 60) + [licenses.plain(licenses.TEXTS[i]) for i in ("MITgrant", "MITnotice", "Reserved", "BSDgrant", "BSDsource", "BSDbinary", "SPDX")]
+
+    def piece():
+        s = rng.choice(some) if rng.random() < 0.5 else rng.choice(["some words", "", "a", "7", "x y é", "MIT"])
+        return "".join(rng.choice([" ", " ", " ", "\n", "  ", ", ", "\n# "]) if c == " " and rng.random() < 0.2 else c for c in s)
+
+    rows = [(i, "".join(piece() + rng.choice([". ", ".\n", "\n\n", "\n", "; ", "\n1. ", "\n (b) ", " ", ".", "\r\n", "!? ", "\n * ", "\n-\n"]) for _ in range(rng.randint(0, 9)))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, "\n\n"), (903, "." * 5000 + " all rights reserved"), (904, "\n" * 5000 + "all rights reserved" + " " * 5000)]
+    docs = spark.createDataFrame(rows, DOCS).unionByName(spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"], r["n_known"], r["n_unclaimed"]) for r in licenses.recognise(docs).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == licences_plainly(r["text"], known), r["text"]
+    assert sum(bool(g[0]) for g in got.values()) > 60
+
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert {r[0]: r[1:] for r in c.sql(licenses.OP2_SQL).fetchall()} == got
 
 
 def test_cues_with_other_characters_between(spark):
@@ -305,6 +412,44 @@ def test_repeated_passages_equal_all_windows(spark, monkeypatch):
         assert (got[i]["kept"], len(got[i]["spans"] or [])) == (kept, spans), i
 
 
+@pytest.mark.parametrize("length", [1, 7, 400])
+def test_plain_doubling_equals_all_windows(spark, length):
+    rng = random.Random(length)
+    text = lambda k: "".join(rng.choices("abé", k=k))
+    shared = text(420)
+    rows = [text(30) + shared, shared + text(50), "ab" * 260, text(9), "", None, text(500), text(500)[:3], "a" * 401]
+    rows.append(rows[6])
+    got = {(bytes(r["key"]), r["p"]) for r in passages.doubled_spans(spark.createDataFrame(list(enumerate(rows)), DOCS), length).collect()}
+    blobs = [(t or "").encode() for t in rows]
+    seen: dict[bytes, int] = {}
+    for b in blobs:
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+    assert got == {(hashlib.md5(b).digest(), i) for b in blobs for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1}
+    if length == 400:  # the pruned form finds the same
+        spans = {(bytes(r["key"]), j) for r in passages.repeated_spans(spark.createDataFrame(list(enumerate(rows)), DOCS)).collect() for s in r["spans"] for j in range(s["first"], s["end"])}
+        assert spans == {(k, p + j) for k, p in got for j in range(length)}
+
+
+def test_passages_of_words_equal_all_windows(spark):
+    rng = random.Random(3)
+    some = lambda k: " ".join(rng.choice(["a", "bb", "é", "Dd,"]) + str(rng.randint(0, 40)) for _ in range(k))
+    shared = [some(k) for k in (50, 51, 52, 80)]
+    rows = [some(rng.randint(0, 30)) + "\n " + rng.choice(shared) + "\t" + some(rng.randint(0, 20)) for _ in range(40)] + ["x " * 60, "x " * 50, None, "", some(200)]
+    rows += [rows[-1], rows[0].replace(" ", "  ")]
+    got = {bytes(r["key"]): [(s["first"], s["end"]) for s in r["passages"]] for r in passages.repeated_spans(spark.createDataFrame(list(enumerate(rows)), DOCS).repartition(3), words=51).collect()}
+    blobs = [(t or "").encode() for t in rows]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in blobs]
+    seen: dict[tuple, int] = {}
+    for b, at in zip(blobs, places, strict=True):
+        for i in range(len(at) - 50):
+            w = tuple(b[x:y] for x, y in at[i : i + 51])
+            seen[w] = seen.get(w, 0) + 1
+    for b, at in zip(blobs, places, strict=True):
+        want = decontaminate.merge([(at[i][0], at[i + 50][1]) for i in range(len(at) - 50) if seen[tuple(b[x:y] for x, y in at[i : i + 51])] > 1])
+        assert got.get(hashlib.md5(b).digest(), []) == want
+
+
 def test_first_units_do_not_depend_on_parts():
     t = bytes(random.Random(1).choices(b"abcd ", k=6000))
     whole = [x.tolist() for x in passages.first_units(t)]
@@ -313,6 +458,29 @@ def test_first_units_do_not_depend_on_parts():
         assert [x.tolist() for x in passages.first_units(t, chunk)] == whole
 
 
+def test_joined_texts_have_the_units_of_each():
+    from shutterlake.llm.ranks import doubled_names, word_names, word_places
+
+    rng = random.Random(2)
+    blobs = ["".join(rng.choices("ab é\n", k=rng.choice([0, 5, 399, 400, 401, 700, 2000]))).encode() for _ in range(30)]
+    data = np.frombuffer(b" ".join(blobs), np.uint8)
+    end = np.cumsum([len(b) + 1 for b in blobs]) - 1
+    start = end - [len(b) for b in blobs]
+    row, units = passages.joined_units(data, start, end)
+    wrow, words = passages.word_units(data, start, end, 51)
+    for i, b in enumerate(blobs):
+        want = passages.first_units(b) or ([],) * 5
+        assert [x[row == i].tolist() for x in units] == [list(x) for x in want]
+        own = passages.word_units(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), 51)[1]
+        assert [x[wrow == i].tolist() for x in words] == [x.tolist() for x in own]
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        assert [tuple(x) for x in zip(*(v.tolist() for v in word_places(np.frombuffer(b, np.uint8))), strict=True)] == at
+    first, last = word_places(data)
+    whole = word_names(data, first, last)
+    assert whole.tolist() == word_names(data, first, last, 100).tolist() and len(set(whole.tolist())) == len({data[a:b].tobytes() for a, b in zip(first, last, strict=True)})
+    assert len(doubled_names(whole[:3], (8,))[8]) == 0
+
+
 def test_bytes_at_the_edges_of_parts_stay(spark):
     rng = random.Random(9)
     text = lambda k: "".join(rng.choices("abcd ", k=k))
