@@ -9,11 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import schema
+from .operators import mutate
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,11 +31,24 @@ class Catalog:
 
     @cached_property
     def photos(self) -> DataFrame:
-        return schema.reconcile(read(self.spark, self.folder, "photos"), schema.PHOTO_DDL, {"favorite": False, "hidden": False, "is_video": False, "named_face_count": 0})
+        return self.evolved(read(self.spark, self.folder, "photos"))
+
+    def evolved(self, photos: DataFrame) -> DataFrame:
+        """photos as written under an older schema; the count of named faces, where it isn't kept yet, from the faces."""
+        old = "named_face_count" not in photos.columns
+        photos = schema.reconcile(photos, schema.PHOTO_DDL, {"favorite": False, "hidden": False, "is_video": False, "named_face_count": 0})
+        return mutate.recount(photos, self.faces, ("named_face_count",)) if old else photos
 
     @cached_property
     def faces(self) -> DataFrame:
-        return schema.reconcile(read(self.spark, self.folder, "faces"), schema.FACE_DDL)
+        """The faces; none if the folder has no such table."""
+        try:
+            found = read(self.spark, self.folder, "faces")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = self.spark.createDataFrame([], schema.FACE_DDL)
+        return schema.reconcile(found, schema.FACE_DDL)
 
     @cached_property
     def persons(self) -> DataFrame:

@@ -3,60 +3,25 @@
 from __future__ import annotations
 
 import argparse
-import datetime
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from . import schema
-from .catalog import Catalog
 from .engine import Engine, from_querystring
-from .operators import bursts, entity, mutate, people, stats
+from .library import Library
+from .operators import bursts, people, stats
 from .sources import export, files
 from .sources.store import Store
 
 
-class StoredCatalog(Catalog):
-    """A catalog read from the store's current version; tables not committed yet are empty."""
-
-    def __init__(self, spark: SparkSession, store: Store):
-        super().__init__(spark, store.root)
-        self.store = store
-        known = store.tables()
-        for name, attribute, ddl in (("photos", "photos", schema.PHOTO_DDL), ("faces", "faces", schema.FACE_DDL), ("persons", "persons", schema.PERSON_DDL), ("face_negatives", "negatives", schema.NEGATIVE_DDL)):
-            setattr(self, attribute, schema.reconcile(store.read(name), ddl) if name in known else spark.createDataFrame([], ddl))
-
-
-def index(spark: SparkSession, store: Store, root: str) -> int:
-    """New files below root into the photos table; how many. Files known by path or content are passed over."""
-    c = StoredCatalog(spark, store)
-    listing = files.routed(files.scan(spark, root), [store.root]).filter("kind <> 'other'")
-    fresh = mutate.new_content(listing, c.photos)
-    fresh = files.described(fresh, None, datetime.date.today().year + 1).withColumns({"bytes": F.col("length"), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
-    n = fresh.count()
-    if n:
-        merged = mutate.upsert_photos(c.photos, fresh)
-        videos = fresh.filter("kind = 'video'").select(F.col("path").alias("_v"))
-        merged = merged.join(videos, F.col("path") == F.col("_v"), "left").withColumn("is_video", F.col("is_video") | F.col("_v").isNotNull()).drop("_v")
-        store.commit({"photos": merged})
-    return n
-
-
-def cluster(spark: SparkSession, store: Store, eps: float, least: int) -> DataFrame:
-    """Unnamed faces clustered anew and written back; how many faces and clusters."""
-    c = StoredCatalog(spark, store)
-    open_ = c.faces.filter("person_id is null and embedding is not null")
-    store.commit({"faces": people.relabel_clusters(c.faces, entity.dbscan(open_.select("id", "embedding"), eps, least))})
-    return store.read("faces").filter("cluster_id is not null").agg(F.count(F.lit(1)).alias("faces"), F.count_distinct("cluster_id").alias("clusters"))
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("command", choices=("index", "demo", "cluster", "prune", "dedup", "stats", "search", "trips", "export-labels"))
+    p.add_argument("command", choices=("index", "demo", "cluster", "prune", "delete", "albums", "dedup", "stats", "search", "trips", "export-labels"))
     p.add_argument("--library", required=True, help="the store's folder")
     p.add_argument("--path", help="files to index, or the folder for sidecars")
     p.add_argument("--filters", default="", help="a saved search's query string")
     p.add_argument("--text", default="", help="a natural-language question")
+    p.add_argument("--ids", default="", help="photo ids, with commas between")
     p.add_argument("--eps", type=float, default=schema.Settings.cluster_eps)
     p.add_argument("--min", type=int, default=schema.Settings.cluster_min)
     p.add_argument("--count", type=int, default=24)
@@ -67,24 +32,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("shutterlake").getOrCreate()
     store = Store(spark, a.library)
-    c = StoredCatalog(spark, store)
+    library = Library(spark, store)
+    c = library.catalog
     if a.command == "index":
-        print(f"{index(spark, store, a.path)} new files")
+        print(f"{library.index(a.path)} new files")
     elif a.command == "demo":
         store.commit({"photos": schema.reconcile(files.demo(spark, a.count), schema.PHOTO_DDL, {"named_face_count": 0})})
         print(f"{a.count} photos")
     elif a.command == "cluster":
-        cluster(spark, store, a.eps, a.min).show()
+        library.cluster(a.eps, a.min).show()
     elif a.command == "prune":
-        left = mutate.pruned(c.photos, files.scan(spark, a.path, content=False))
-        store.commit({"photos": left})
-        print(f"{store.read('photos').count()} kept")
+        done = library.prune(a.path)
+        print(f"{done['removed']} removed, {done['kept']} kept")
+    elif a.command == "delete":
+        print(library.delete([int(x) for x in a.ids.split(",") if x]))
+    elif a.command == "albums":
+        library.searches().show(100, truncate=False)
     elif a.command == "dedup":
         bursts.redundant(bursts.bursts(c.photos)).show()
     elif a.command == "stats":
         stats.library_stats(c.photos, c.faces, c.persons).show(100, truncate=False)
     elif a.command == "search":
-        page = Engine(c).ask(a.text, from_querystring(a.filters))[0] if a.text else Engine(c).photos(from_querystring(a.filters))[0]
+        page = Engine(c).ask(a.text, from_querystring(a.filters)).rows if a.text else Engine(c).photos(from_querystring(a.filters))[0]
         page.show(60, truncate=False)
     elif a.command == "trips":
         Engine(c).trips().show(60, truncate=False)

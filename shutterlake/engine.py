@@ -12,11 +12,21 @@ from urllib.parse import parse_qs, urlencode
 
 from .catalog import Catalog
 from .functions import planner
-from .operators import browse, bursts, facets, people, ranking, timeline
-from .operators.predicates import select, validate
+from .operators import browse, bursts, facets, people, ranking, stats, timeline
+from .operators.predicates import select, union, validate
 from .schema import Settings
 
 
+@dataclass
+class Answer:
+    """A page of rows, how many there are in all (-1 if not counted), what was asked, and whether regions ranked them."""
+
+    rows: DataFrame
+    total: int
+    question: planner.Question = planner.Question()
+    grounded: bool = False
+
+
 @dataclass
 class Engine:
     """Queries over a catalog. `encode` turns a text into a vector; without it texts can't be ranked.
@@ -39,26 +49,67 @@ class Engine:
         validate(filters, limit, offset)
         return browse.search(self.catalog.photos, self.catalog.faces, self._f(filters), limit, offset, count=offset == 0)
 
-    def ask(self, text: str, filters: Mapping[str, Any] | None = None) -> tuple[DataFrame, planner.Plan, bool]:
-        """(photos, plan, grounded) for a natural-language query.
-
-        What the plan finds becomes filters, under those given. What is left is ranked: by regions of
-        the named persons if they have any, else by whole images.
-        """
+    def asked(self, text: str, filters: Mapping[str, Any] | None = None) -> tuple[planner.Question, dict[str, Any]]:
+        """What a text asks for, and the filters that it and those given come to: both one's persons and buckets, the given mode first."""
         named = [r.asDict() for r in self.catalog.persons.select("id", "name").collect()]  # names of persons, a small table
-        plan = planner.plan(text, named)
-        f = self._f(plan.filters() | dict(filters or {}))
-        if not plan.text:
-            return browse.search(self.catalog.photos, self.catalog.faces, f, count=False)[0], plan, False
+        q, f = planner.Reader(named).read(text.strip()), dict(filters or {})
+        for key, found in (("person_id", q.ids), ("people", list(q.company))):
+            if found:
+                f[key] = union(f.get(key), found)
+        if q.mode and not f.get("person_mode"):
+            f["person_mode"] = q.mode
+        return q, self._f(f)
+
+    def ask(self, text: str, filters: Mapping[str, Any] | None = None, limit: int = 60, offset: int = 0) -> Answer:
+        """A page of photos for a natural-language query, and how many there are (at most top_k if they are ranked).
+
+        What is left of the text besides persons and head counts is ranked: by regions of the named
+        persons if they have any, else by whole images.
+        """
+        validate(filters or {}, limit, offset)
+        q, f = self.asked(text, filters)
+        if not q.rest:
+            page, total = browse.search(self.catalog.photos, self.catalog.faces, f, limit, offset, count=offset == 0)
+            return Answer(page, total, q, False)
+        k, hits = self.settings.semantic_top_k, select(self.catalog.photos, self.catalog.faces, f)
+        grounded = bool(q.ids) and self.regions is not None and not self.regions.filter(F.col("label").isin(q.ids)).isEmpty()
+        if self.vectors is None and not grounded:
+            raise LookupError("no vectors")
         if self.encode is None:
             raise NotImplementedError("no text encoder")
-        k, q = self.settings.semantic_top_k, self.encode(plan.text)
-        hits = select(self.catalog.photos, self.catalog.faces, f)
-        if plan.person_ids and self.regions is not None and not self.regions.filter(F.col("label").isin(plan.person_ids)).isEmpty():
-            return ranking.grounded_search(self.regions, q, plan.person_ids, hits, k), plan, True
+        vector = self.encode(q.rest)
+        ranked = ranking.grounded_search(self.regions, vector, q.ids, hits, k) if grounded else ranking.semantic_search(hits, self.vectors, vector, k)
+        return Answer(*browse.ranked_page(self.catalog.photos, ranked, limit, offset), q, grounded)
+
+    def similar_photos(self, photo_id: int, limit: int = 60, offset: int = 0) -> Answer:
+        """The photos whose image is most like a photo's."""
+        validate({}, limit, offset)
         if self.vectors is None:
             raise LookupError("no vectors")
-        return ranking.semantic_search(hits, self.vectors, q, k), plan, False
+        return Answer(*browse.ranked_page(self.catalog.photos, ranking.similar(self.vectors, photo_id, self.settings.semantic_top_k), limit, offset))
+
+    def similar_faces(self, face_id: int, limit: int = 60, offset: int = 0) -> Answer:
+        """The other photos that have a face most like a face."""
+        validate({}, limit, offset)
+        return Answer(*browse.ranked_page(self.catalog.photos, ranking.similar_faces(self.catalog.faces, face_id, self.settings.semantic_top_k), limit, offset))
+
+    def photo(self, photo_id: int) -> DataFrame:
+        return browse.detail(self.catalog.photos, self.catalog.faces, self.catalog.persons, photo_id)
+
+    def map(self, filters: Mapping[str, Any]) -> DataFrame:
+        return browse.map_points(self.catalog.photos, self.catalog.faces, self._f(filters), self.settings.map_points)
+
+    def clusters(self, limit: int = 50) -> DataFrame:
+        return people.list_clusters(self.catalog.faces, limit)
+
+    def review(self, limit: int = 60) -> DataFrame:
+        return people.review_queue(self.catalog.faces, self.catalog.persons, self.settings.review_confidence, limit)
+
+    def faces_of(self, person_id: int, limit: int = 200) -> DataFrame:
+        return people.person_faces(self.catalog.faces, person_id, limit)
+
+    def stats(self) -> DataFrame:
+        return stats.library_stats(self.catalog.photos, self.catalog.faces, self.catalog.persons)
 
     def facets(self, filters: Mapping[str, Any]) -> dict[str, DataFrame]:
         c, f = self.catalog, self._f(filters)

@@ -131,6 +131,33 @@ def dms(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Colum
     return F.round(F.when(ref.isin("S", "W"), -d).otherwise(d), 6)
 
 
+def number(text: Column) -> Column:
+    """A number as text: decimal, or one over another."""
+    return F.coalesce(text.try_cast("double"), ratio(F.regexp_extract(text, r"\A(-?[\d.]+)/", 1).try_cast("double"), F.regexp_extract(text, r"/(-?[\d.]+)\z", 1).try_cast("double")))
+
+
+def gps(exif: Column) -> Column:
+    """struct(lat, lon) from a map of tags as text; null without a reference, or off the globe."""
+
+    def degrees(tag: str, most: float) -> Column:
+        parts = F.split(F.trim(F.try_element_at(exif, F.lit(tag))), r"[,;\s]+")
+        d = dms(*[number(F.get(parts, F.lit(i))) for i in range(3)], F.upper(F.trim(F.try_element_at(exif, F.lit(f"{tag}Ref")))))
+        return F.when(F.map_contains_key(exif, F.lit(f"{tag}Ref")) & d.between(-most, most), d)
+
+    return F.struct(degrees("GPSLatitude", 90.0).alias("lat"), degrees("GPSLongitude", 180.0).alias("lon"))
+
+
+def camera(exif: Column) -> Column:
+    """struct(make, model) without the padding that cameras write."""
+    clean = lambda tag: F.nullif(F.trim(F.replace(F.try_element_at(exif, F.lit(tag)), F.lit("\0"), F.lit(" "))), F.lit(""))
+    return F.struct(clean("Make").alias("make"), clean("Model").alias("model"))
+
+
+def exif_moment(exif: Column) -> Column:
+    """When a picture was taken: the first of three tags that holds a time."""
+    return F.coalesce(*[exif_time(F.try_element_at(exif, F.lit(tag))) for tag in ("DateTimeOriginal", "DateTimeDigitized", "DateTime")])
+
+
 def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
@@ -190,11 +217,11 @@ def probe(json: Column) -> Column:
     return F.struct(when.alias("taken_at"), where["lat"].alias("lat"), where["lon"].alias("lon"), sized["width"].alias("width"), F.nullif(sized["height"], F.lit(0)).alias("height"), j["format"]["duration"].try_cast("double").alias("duration"))
 
 
-def capture_time(exif: Column, from_name: Column, from_folder: Column, mtime: Column) -> Column:
-    """struct(taken_at, source): EXIF before the file name before the folder before the file's time."""
-    at = F.coalesce(exif, from_name, from_folder, mtime)
-    source = F.when(exif.isNotNull(), "exif").when(from_name.isNotNull(), "filename").when(from_folder.isNotNull(), "folder").when(mtime.isNotNull(), "mtime")
-    return F.struct(at.alias("taken_at"), source.alias("source"))
+def capture_time(exif: Column, from_name: Column, from_folder: Column, mtime: Column, container: Column | None = None) -> Column:
+    """struct(taken_at, source): EXIF, or a video's container, before the file name before the folder before the file's time."""
+    told = [(exif, "exif"), *([(container, "video")] if container is not None else []), (from_name, "filename"), (from_folder, "folder"), (mtime, "mtime")]
+    source = F.coalesce(*[F.when(t.isNotNull(), F.lit(name)) for t, name in told])
+    return F.struct(F.coalesce(*[t for t, _ in told]).alias("taken_at"), source.alias("source"))
 
 
 def place_label(city: Column, country: Column) -> Column:
@@ -212,6 +239,16 @@ def content_path(root: str, sha1: Column, size: int | None = None) -> Column:
     return F.concat(F.lit(f"{root}/"), F.substring(sha1, 1, 2), F.lit("/"), sha1, F.lit(f"_{size}.jpg" if size else ".jpg"))
 
 
+def poster_path(root: str, sha1: Column) -> Column:
+    """Where a video's still is kept."""
+    return F.concat(F.lit(f"{root}/"), F.substring(sha1, 1, 2), F.lit("/"), sha1, F.lit("_poster.jpg"))
+
+
+def scores_json(scores: Column) -> Column:
+    """A map of scores as the catalog keeps it."""
+    return F.to_json(scores)
+
+
 def phash_bits(h: Column) -> Column:
     """16 hex digits as a signed 64-bit number with the same bits."""
     return F.when(h != "", F.conv(h, 16, -10).cast("long"))

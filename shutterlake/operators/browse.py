@@ -56,3 +56,14 @@ def map_points(photos: DataFrame, faces: DataFrame | None, filters: Mapping[str,
     """id, lat, lon, year of the matches that have both coordinates, the least ids if there are more."""
     hits = select(photos, faces, filters).filter("lat is not null and lon is not null")
     return hits.select("id", "lat", "lon", F.substring("taken_at", 1, 4).alias("year")).orderBy("id").limit(limit)
+
+
+def ranked_page(photos: DataFrame, ranked: DataFrame, limit: int = 60, offset: int = 0) -> tuple[DataFrame, int]:
+    """(list rows of a page of ranked ones, in rank order, all ranked).
+
+    ranked: id, score, rank and maybe more, at most top_k rows, which are found once and held; so a
+    page's join is with a side of bounded size.
+    """
+    top = ranked.collect()  # top_k rows at most
+    held = photos.sparkSession.createDataFrame([r for r in top if offset < r["rank"] <= offset + limit], ranked.schema)
+    return listed(photos).join(F.broadcast(held), "id").orderBy("rank"), len(top)

@@ -16,11 +16,12 @@ from pyspark.sql.window import Window
 from ..plans.graph import checkpointed
 from ..schema import INDEXED
 from .entity import carry_labels
+from .predicates import fold
 
 FLAGS = ("favorite", "hidden")
 
 
-def _new_ids(df: DataFrame, after: int, by: str) -> DataFrame:
+def numbered(df: DataFrame, after: int, by: str) -> DataFrame:
     """df with ids from after + 1, in the order of a column, without a global window.
 
     Rows are numbered within range partitions, whose sizes are summed first. The partitions are
@@ -48,7 +49,7 @@ def upsert_photos(photos: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = joined.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in INDEXED and c != "path" else F.col(c) for c in cols])
     fresh = news.join(photos.select("path"), F.col("_path") == F.col("path"), "left_anti")
     top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = _new_ids(fresh, top, "_path")
+    fresh = numbered(fresh, top, "_path")
     defaults = {"favorite": F.lit(False), "hidden": F.lit(False), "is_video": F.lit(False), "named_face_count": F.lit(0)}
     fresh = fresh.select(*[(F.col("id") if c == "id" else F.col("_path") if c == "path" else F.col(f"_{c}") if c in INDEXED else (F.coalesce(F.col(f"_{c}"), defaults[c]) if f"_{c}" in fresh.columns else defaults.get(c, F.lit(None)))).cast(photos.schema[c].dataType).alias(c) for c in cols])
     return kept.unionByName(fresh)
@@ -59,11 +60,11 @@ def replace_faces(faces: DataFrame, incoming: DataFrame) -> DataFrame:
     return faces.join(incoming.select("photo_id").distinct(), "photo_id", "left_anti").select(*faces.columns).unionByName(incoming, allowMissingColumns=True)
 
 
-def recount(photos: DataFrame, faces: DataFrame) -> DataFrame:
-    """photos with face_count and named_face_count counted anew."""
-    n = faces.groupBy(F.col("photo_id").alias("_id")).agg(F.count(F.lit(1)).cast("int").alias("_c"), F.count("person_id").cast("int").alias("_k"))
+def recount(photos: DataFrame, faces: DataFrame, which: Sequence[str] = ("face_count", "named_face_count")) -> DataFrame:
+    """photos with face_count and named_face_count counted anew, or those of them that are named."""
+    n = faces.groupBy(F.col("photo_id").alias("_id")).agg(F.count(F.lit(1)).cast("int").alias("_face_count"), F.count("person_id").cast("int").alias("_named_face_count"))
     out = photos.join(n, F.col("id") == F.col("_id"), "left")
-    return out.withColumns({"face_count": F.coalesce("_c", F.lit(0)), "named_face_count": F.coalesce("_k", F.lit(0))}).drop("_id", "_c", "_k")
+    return out.withColumns({c: F.coalesce(f"_{c}", F.lit(0)) for c in which}).drop("_id", "_face_count", "_named_face_count")
 
 
 def set_column(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -78,6 +79,11 @@ def missing(df: DataFrame, column: str, recompute: bool = False, videos: bool =
     return df if videos else df.filter(~F.col("is_video"))
 
 
+def with_faces(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """The photos that any of the faces is in, each once."""
+    return photos.join(faces.select("photo_id"), F.col("id") == F.col("photo_id"), "left_semi")
+
+
 def set_flag(photos: DataFrame, flag: str, value: bool, ids: Sequence[int]) -> DataFrame:
     if flag not in FLAGS:
         raise ValueError(f"{flag} is not one of {FLAGS}")
@@ -178,6 +184,26 @@ def save_search(searches: DataFrame, name: str, query: str) -> DataFrame:
     return searches.unionByName(searches.sparkSession.sql("SELECT CAST(:i AS BIGINT) id, :n name, :q query", args={"i": top + 1, "n": name, "q": query}))
 
 
+def list_searches(searches: DataFrame) -> DataFrame:
+    """By name, A-Z like a-z."""
+    return searches.select("id", "name", "query").orderBy(fold(F.col("name")), "id")
+
+
+def delete_search(searches: DataFrame, search_id: int) -> DataFrame:
+    return searches.filter(F.col("id") != search_id)
+
+
+def get_meta(meta: DataFrame, key: str) -> DataFrame:
+    """value of a counter (key, value); 0 if it was never set."""
+    return meta.filter(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit(0)).alias("value"))
+
+
+def bump_meta(meta: DataFrame, key: str) -> DataFrame:
+    """The counters with one of them up by one, or set to 1."""
+    one = meta.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(1).cast("long").alias("value"))
+    return meta.select("key", "value").unionByName(one).groupBy("key").agg(F.sum("value").alias("value"))
+
+
 def new_content(listing: DataFrame, photos: DataFrame) -> DataFrame:
     """Of listed files (path, sha1) those neither known by path nor by content; one of each content, the first path."""
     rest = listing.join(photos.select("path"), "path", "left_anti").join(photos.filter("sha1 is not null").select("sha1"), "sha1", "left_anti")
@@ -185,18 +211,26 @@ def new_content(listing: DataFrame, photos: DataFrame) -> DataFrame:
     return rest.join(first, ["sha1", "path"], "left_semi")
 
 
-def orphans(derivatives: DataFrame, photos: DataFrame) -> DataFrame:
-    """Derived files (path) whose content no photo has, and unfinished ones."""
+def orphans(derivatives: DataFrame, photos: DataFrame, crops: str | None = None) -> DataFrame:
+    """Derived files (path) whose content no photo has, crops (below the folder crops, by photo id) of no photo, and unfinished ones."""
     name = F.element_at(F.split("path", "/"), -1)
-    d = derivatives.withColumn("_sha", F.element_at(F.split(name, "[._]"), 1))
+    below = F.lit(False) if crops is None else F.startswith("path", F.lit(crops.rstrip("/") + "/"))
+    d = derivatives.withColumns({"_sha": F.element_at(F.split(name, "[._]"), 1), "_crop": F.when(below, F.element_at(F.split("path", "/"), -2).try_cast("long")), "_below": below})
     part = F.coalesce(F.endswith(name, F.lit(".part")), F.lit(False))
-    whole = d.filter(~part).join(photos.select(F.col("sha1").alias("_s")), F.col("_sha") == F.col("_s"), "left_anti")
-    return whole.unionByName(d.filter(part)).drop("_sha")
+    whole = d.filter(~part & ~F.col("_below")).join(photos.select(F.col("sha1").alias("_s")), F.col("_sha") == F.col("_s"), "left_anti")
+    cut = d.filter(~part & F.col("_below")).join(photos.select(F.col("id").alias("_i")), F.col("_crop") == F.col("_i"), "left_anti") if crops is not None else d.limit(0)
+    return whole.unionByName(cut).unionByName(d.filter(part)).drop("_sha", "_crop", "_below")
+
+
+def gone(photos: DataFrame, listing: DataFrame, root: str | None = None) -> DataFrame:
+    """id of the photos whose file isn't listed any more (path); with a root only of those below it, as the listing says nothing of others."""
+    known = photos if root is None else photos.filter(F.startswith("path", F.lit(root.rstrip("/") + "/")))
+    return known.join(listing.select("path"), "path", "left_anti").select("id")
 
 
-def pruned(photos: DataFrame, listing: DataFrame) -> DataFrame:
-    """photos whose file is still listed (path)."""
-    return photos.join(listing.select("path"), "path", "left_semi").select(*photos.columns)
+def pruned(photos: DataFrame, listing: DataFrame, root: str | None = None) -> DataFrame:
+    """photos whose file is still listed, or isn't below the root."""
+    return photos.join(gone(photos, listing, root).select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti").select(*photos.columns)
 
 
 def export_plan(photos: DataFrame, ids: DataFrame, dest: str) -> DataFrame:
@@ -231,7 +265,7 @@ def commit_prepared(photos: DataFrame, faces: DataFrame, prepared: DataFrame, fo
     batch = out.join(prepared.select("path"), "path", "left_semi").select(F.col("id").alias("photo_id"), "path")
     top = faces.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = found.join(batch, "path").withColumn("_order", F.struct("photo_id", "bbox"))
-    fresh = _new_ids(fresh, top, "_order").drop("_order", "path")
+    fresh = numbered(fresh, top, "_order").drop("_order", "path")
     fresh = checkpointed(fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None).cast(faces.schema[c].dataType)).alias(c) for c in faces.columns]))
     old = faces.join(batch.select("photo_id"), "photo_id", "left_semi")
     kept = carry_labels(old, fresh).select(F.col("new_id").alias("_id"), F.col("person_id").alias("_who"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .mutate import numbered
 from .predicates import fold
 
 
@@ -28,7 +29,8 @@ def list_clusters(faces: DataFrame, limit: int = 50, samples: int = 6) -> DataFr
     """The largest clusters of unnamed faces with their first faces; equal sizes in the order of cluster."""
     open_ = faces.filter("person_id is null and cluster_id is not null")
     top = open_.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "cluster_id").limit(limit)
-    first = open_.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).filter(F.col("k") <= samples)
+    first = open_.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")  # limit rows
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).filter(F.col("k") <= samples)
     first = first.groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("samples"))
     return top.join(first, "cluster_id")
 
@@ -66,11 +68,11 @@ def enrolled(faces: DataFrame, persons: DataFrame) -> DataFrame:
 def relabel_clusters(faces: DataFrame, clusters: DataFrame) -> DataFrame:
     """faces with cluster_id from a new clustering (id, cluster) of the unnamed ones, numbered from 0 by least face.
 
-    Labels that the unnamed faces had are gone; named faces have none. Clusters are numbered, so the
-    window is over one row a cluster.
+    Labels that the unnamed faces had are gone; named faces have none. Clusters are numbered within
+    ranges, so no task holds all of them.
     """
     firsts = clusters.filter("cluster is not null").select("cluster").distinct()
-    number = firsts.withColumn("k", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("int"))
+    number = numbered(firsts, -1, "cluster").select("cluster", F.col("id").cast("int").alias("k"))
     new = clusters.join(number, "cluster").select(F.col("id").alias("_id"), "k")
     out = faces.join(new, F.col("id") == F.col("_id"), "left")
     return out.withColumn("cluster_id", F.when(F.col("person_id").isNull(), F.col("k"))).drop("_id", "k")

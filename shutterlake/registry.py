@@ -328,7 +328,7 @@ _add(
 
 # ---- planner ---------------------------------------------------------------------------------
 _PEOPLE = [{"id": 1, "name": "the"}, {"id": 2, "name": "que"}, {"id": 3, "name": "des"}]
-_add("plan_query", lambda c: c._t("conversations").select("conv_id", "turn", planner.plan_column(F.col("text"), _PEOPLE).alias("p")).select("conv_id", "turn", "p.person_mode", F.size("p.person_ids").alias("named"), "p.text"))  # noqa: SLF001
+_add("plan_query", lambda c: c._t("conversations").select("conv_id", "turn", planner.read_column(F.col("text"), _PEOPLE).alias("p")).select("conv_id", "turn", F.col("p.mode").alias("person_mode"), F.size("p.ids").alias("named"), F.col("p.rest").alias("text")))  # noqa: SLF001
 
 # ---- mutations -------------------------------------------------------------------------------
 _PCOLS = ("id", "path", "filename", "sha1", "camera_model", "favorite", "hidden")

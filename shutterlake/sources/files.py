@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.media import capture_time, exif_time, filename_date, folder_meta, is_image, is_video
+from ..functions.media import camera, capture_time, exif_moment, filename_date, folder_meta, gps, is_image, is_video, place_label, probe
+from ..operators.timeline import nearest_city
 
 CITY_DDL = "name string, admin string, country string, country_code string, lat double, lon double"
 
@@ -18,6 +20,11 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\A\w+:(//)?", "")
 
 
+def local(path: str) -> str:
+    """The same of one path on the driver."""
+    return re.sub(r"\A\w+:(//)?", "", path).rstrip("/")
+
+
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """path, modified, length, sha1 of every file below root; hashing is part of the distributed scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -33,14 +40,45 @@ def routed(listing: DataFrame, derived_roots: list[str]) -> DataFrame:
     return listing.filter(~own).withColumn("kind", F.when(is_image(F.col("path")), "photo").when(is_video(F.col("path")), "video").otherwise("other"))
 
 
-def described(files: DataFrame, exif: Column | None, last_year: int) -> DataFrame:
-    """files with filename, taken_at, taken_source and folder_place from EXIF, name, folder or file time."""
+def described(files: DataFrame, exif: Column | None, last_year: int, container: Column | None = None) -> DataFrame:
+    """files with what their name, folders, tags and container tell.
+
+    exif: a map of tags as text; container: a video probe's JSON; null where a file has none. Added are
+    filename, taken_at, taken_source, folder_place, and, of tags or container, lat, lon, camera_make,
+    camera_model; width and height of a container where the files have none.
+    """
+    none = F.lit(None)
     name = F.element_at(F.split("path", "/"), -1)
     meta = folder_meta(F.col("path"))
     from_folder = F.when(meta["year"].isNotNull(), F.date_format(F.make_date(meta["year"], F.coalesce(meta["month"], F.lit(1)), F.lit(1)), "yyyy-MM-dd'T'HH:mm:ss"))
     mtime = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    when = capture_time(exif_time(exif) if exif is not None else F.lit(None).cast("string"), filename_date(name, last_year), from_folder, mtime)
-    return files.withColumns({"filename": name, "taken_at": when["taken_at"], "taken_source": when["source"], "folder_place": meta["place"]})
+    tags = exif if exif is not None else none.cast("map<string,string>")
+    probed = probe(container) if container is not None else None
+    of_video = lambda f: probed[f] if probed is not None else none
+    when = capture_time(exif_moment(tags), filename_date(name, last_year), from_folder, mtime, of_video("taken_at").cast("string"))
+    out = {"filename": name, "taken_at": when["taken_at"], "taken_source": when["source"], "folder_place": meta["place"]}
+    out |= {c: F.coalesce(gps(tags)[c], of_video(c).cast("double")) for c in ("lat", "lon")}
+    out |= {f"camera_{c}": camera(tags)[c] for c in ("make", "model")}
+    if probed is not None:
+        out |= {c: F.coalesce(F.col(c), of_video(c)) if c in files.columns else of_video(c) for c in ("width", "height")}
+    return files.withColumns(out)
+
+
+def geocoded(files: DataFrame, cities: DataFrame) -> DataFrame:
+    """files (lat, lon) with place_city, place_country and place_label of the nearest city."""
+    near = nearest_city(files, cities)
+    return near.select(*files.columns, F.col("city").alias("place_city"), F.col("country").alias("place_country"), F.when(F.col("city").isNotNull(), place_label(F.col("city"), F.col("country"))).alias("place_label"))
+
+
+def country_names(cities: DataFrame) -> DataFrame:
+    """country_code, country: the names that the city table has for its codes."""
+    return cities.filter("country_code <> ''").groupBy("country_code").agg(F.max_by("country", "n").alias("country"))
+
+
+def country_name(code: Column, names: DataFrame) -> Column:
+    """A code's name, or the code itself; names is a table of some hundred rows."""
+    known = F.create_map(*[F.lit(x) for r in names.limit(1000).collect() for x in (r["country_code"], r["country"])]) if not names.isEmpty() else None
+    return F.coalesce(F.try_element_at(known, code), code) if known is not None else code
 
 
 def derive(files: DataFrame, decode: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -60,7 +98,7 @@ def derive(files: DataFrame, decode: Callable[[pd.DataFrame], pd.DataFrame], sch
 def cities(spark: SparkSession, path: str) -> DataFrame:
     """The city table, a CSV with a header, numbered in the order of its lines."""
     c = spark.read.csv(path, header=True, schema=CITY_DDL)
-    return c.select(F.monotonically_increasing_id().alias("n"), "name", "country", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    return c.select(F.monotonically_increasing_id().alias("n"), "name", "country", "country_code", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
 
 
 def demo(spark: SparkSession, count: int = 24, seed: int = 7) -> DataFrame:

@@ -172,17 +172,36 @@ def test_labels_are_carried_once(spark):
 PERSONS = [{"id": 1, "name": "Stefano"}, {"id": 2, "name": "Anna"}, {"id": 3, "name": "Anna Maria"}]
 
 
-def test_planner(spark):
-    p = planner.plan("a photo of Stefano eating food", PERSONS)
-    assert (p.person_ids, p.person_mode, p.text) == ([1], None, "eating food")
-    p = planner.plan("Anna Maria and stefano at the beach together", PERSONS)
-    assert (p.person_ids, p.person_mode, p.people, p.text) == ([3, 1], "all", ["2-4", "5+"], "beach")
-    p = planner.plan("Stefano alone", PERSONS)
-    assert p.people == ["1"] and p.only_filters
-    assert planner.plan("Annabel with a cup of coffee", PERSONS).text == "Annabel with a cup of coffee"
-    assert planner.plan(None, PERSONS) == planner.Plan()
-    q = spark.createDataFrame([("Stefano alone",), (None,)], "q string").select(planner.plan_column(F.col("q"), PERSONS).alias("p")).collect()
-    assert q[0]["p"]["person_ids"] == [1] and q[1]["p"]["text"] == ""
+def test_questions(spark):
+    read = planner.Reader(PERSONS).read
+    q = read("a photo of Stefano eating food")
+    assert (q.ids, q.mode, q.rest, q.only_filters) == ([1], None, "eating food", False)
+    q = read("Anna Maria and stefano at the beach together")
+    assert (q.ids, q.mode, q.company, q.rest) == ([3, 1], "all", ("2-4", "5+"), "beach")
+    q = read("Stefano alone")
+    assert q.company == ("1",) and q.only_filters and q.filters() == {"person_id": [1], "people": ["1"]}
+    assert read("Stefano with other people").filters() == {"person_id": [1], "people": ["2-4", "5+"]}
+    assert read("Annabel with a cup of coffee").rest == "Annabel with a cup of coffee"
+    assert read("Anna near a sunset and the").rest == "near a sunset"
+    assert read("anna, ANNA and Anna Maria!").ids == [2, 3]
+    assert read(None) == planner.Question() == read("") and not read(None).only_filters
+    assert planner.Reader([]).read("Anna").rest == "Anna"
+    overlap = planner.Reader([{"id": 1, "name": "Anna Maria"}, {"id": 2, "name": "Maria Rossi"}, {"id": 3, "name": "Anna"}, {"id": 4, "name": None}, {"id": 5, "name": "anna"}])
+    assert overlap.read("Anna Maria Rossi").ids == [3, 2]
+    asked = spark.createDataFrame([("Stefano alone",), (None,)], "q string").select(planner.read_column(F.col("q"), PERSONS).alias("p")).collect()
+    assert asked[0]["p"]["ids"] == [1] and asked[1]["p"]["rest"] == ""
+
+
+def test_names_in_random_questions():
+    """Whole words that are a name and nothing else: each person once, by first mention."""
+    import random
+
+    rng, names = random.Random(3), ["ada", "Bo", "cy", "dee"]
+    reader = planner.Reader([{"id": i, "name": n} for i, n in enumerate(names)])
+    for _ in range(300):
+        words = rng.choices(["Ada", "BO", "cy", "dee", "adam", "boat", "sea", "by"], k=rng.randint(0, 8))
+        low = [w.lower() for w in words]
+        assert reader.read(" ".join(words)).ids == list(dict.fromkeys(names.index(n) for w in low for n in names if n.lower() == w))
 
 
 def test_nearest_city(spark):
