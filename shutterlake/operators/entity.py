@@ -70,9 +70,11 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     return out.select("id", F.coalesce("cluster", "near").alias("cluster"))
 
 
-def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float) -> DataFrame:
+def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others: bool = False) -> DataFrame:
     """probe, pos, person_id, dist, r: each probe's k nearest of side (id, person_id, embedding) within the threshold.
 
+    others: both are of one table, and no probe is its own neighbour.
+
     Both are dealt into blocks; a pair of blocks is one matrix product that keeps each probe's k best,
     and the best of those are its nearest. So neither side has to fit anywhere, and what is ranked
     is k rows a probe and block. Equal distances go to the least id.
@@ -89,6 +91,8 @@ def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float) -> Dat
         if len(a) and len(b):
             b = b.sort_values("pos", kind="stable")
             d = np.round(1.0 - np.vstack(a["v"].to_list()) @ np.vstack(b["v"].to_list()).T, 12)
+            if others:
+                d[a["probe"].to_numpy()[:, None] == b["pos"].to_numpy()] = np.inf
             order = np.argsort(d, axis=1, kind="stable")[:, :k]
             x, y = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
             keep = d[x, y] <= threshold
@@ -100,16 +104,16 @@ def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float) -> Dat
     return near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("dist", "pos"))).filter(F.col("r") <= k)
 
 
-def knn_vote(probes: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, k: int = 5, threshold: float = 0.5) -> DataFrame:
+def knn_vote(probes: DataFrame, positives: DataFrame, negatives: DataFrame | None = None, k: int = 5, threshold: float = 0.5, others: bool = False) -> DataFrame:
     """probe, person_id, confidence: votes of the k nearest positives less those of the k nearest negatives.
 
     probes: id, embedding; positives and negatives: id, person_id, embedding. Only neighbours within
     the threshold vote; a person needs more votes than vetoes; most net votes, then the least mean
     distance, then the least person.
     """
-    votes = nearest(probes, positives, k, threshold).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
+    votes = nearest(probes, positives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
     if negatives is not None:
-        veto = nearest(probes, negatives, k, threshold).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
+        veto = nearest(probes, negatives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
         votes = votes.join(veto, ["probe", "person_id"], "left").withColumn("votes", F.col("votes") - F.coalesce("vetoes", F.lit(0))).drop("vetoes")
     best = votes.filter("votes > 0").withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("votes"), F.round("mean", 9), "person_id"))).filter("r = 1")
     return best.select("probe", "person_id", F.greatest(F.lit(0.0), F.round(1 - F.col("mean"), 6)).alias("confidence"))

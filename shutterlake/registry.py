@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .catalog import VIEWS_SQL, StarCatalog
 from .functions import media, planner
+from .engine import Engine
 from .functions.geo import haversine_km
+from .functions.vectors import cosine_distance, literal
 from .operators import browse, bursts, entity, facets, mutate, people, ranking, stats, timeline
 from .operators.predicates import PEOPLE, escape_like, select
+from .sources import files
 from .sources.export import sidecars
 from .streaming.ingest import sessions
 
@@ -121,7 +124,10 @@ _add(
     lambda c: people.names_by_path(c.photos, c.faces, c.persons).select("path", F.array_join("names", "|").alias("names")),
     "SELECT path, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM photos p JOIN faces f ON f.photo_id = p.id JOIN persons s ON s.id = person_id GROUP BY p.id, path",
 )
-_add("xmp_documents", lambda c: sidecars(people.names_by_path(c.photos, c.faces, c.persons)).select("target", F.md5(F.col("document").cast("binary")).alias("digest")))
+_add("xmp_documents", lambda c: sidecars(people.names_by_path(c.photos, c.faces, c.persons)).select("target", F.md5(F.col("document").cast("binary")).alias("digest")),
+     """SELECT regexp_replace(path, '(\\.[^./]*)$', '') || '.xmp' target, md5('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:lr="http://ns.adobe.com/lightroom/1.0/"><dc:subject><rdf:Bag>'
+       || string_agg('<rdf:li>' || name || '</rdf:li>', '' ORDER BY name) || '</rdf:Bag></dc:subject><lr:hierarchicalSubject><rdf:Bag>' || string_agg('<rdf:li>People|' || name || '</rdf:li>', '' ORDER BY name) || '</rdf:Bag></lr:hierarchicalSubject></rdf:Description></rdf:RDF></x:xmpmeta>') digest
+       FROM (SELECT DISTINCT p.id, path, replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') name FROM photos p JOIN faces f ON f.photo_id = p.id JOIN persons s ON s.id = person_id) GROUP BY id, path""")
 
 # ---- vectors ---------------------------------------------------------------------------------
 _QUERY = [((i * 7) % 13 - 6) / 10 for i in range(64)]
@@ -169,24 +175,33 @@ _add(
     _U + ", e AS (SELECT x.id a, y.id b FROM u x JOIN u y ON x.id <> y.id AND 1 - list_dot_product(x.v, y.v) <= 0.6), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)",
 )
 _KNN = """
- near AS (SELECT p.id probe, n.id pos, n.person, 1 - list_dot_product(p.v, n.v) d FROM (SELECT * FROM u WHERE id % 2 = 0) p JOIN (SELECT id, label person, v FROM u WHERE id % 2 = 1) n ON 1 - list_dot_product(p.v, n.v) <= 0.85 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, n.id) <= 5),
+ near AS (SELECT p.id probe, n.id pos, n.person, 1 - list_dot_product(p.v, n.v) d FROM u p JOIN (SELECT id, label person, v FROM u) n ON p.id <> n.id AND 1 - list_dot_product(p.v, n.v) <= 0.85 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, n.id) <= 5),
  vote AS (SELECT probe, person, count(*) votes, avg(d) mean FROM near GROUP BY ALL)"""
 _PICK = "SELECT probe, person person_id, greatest(0.0::DOUBLE, round(1 - mean, 6)) confidence FROM {v} WHERE votes > 0 QUALIFY row_number() OVER (PARTITION BY probe ORDER BY votes DESC, round(mean, 9), person) = 1"
-_probes = lambda c: c.vectors.filter("id % 2 = 0").select("id", "embedding")
-_known = lambda c: c.vectors.filter("id % 2 = 1").select("id", F.col("label").alias("person_id"), "embedding")
-_vetoes = lambda c: c.vectors.filter("id % 10 = 3").select("id", ((F.col("label") + 1) % 10).alias("person_id"), "embedding")
-_add("knn_vote", lambda c: entity.knn_vote(_probes(c), _known(c), None, 5, 0.85), _PICK.format(v="vote"), _U + "," + _KNN)
+_probes = lambda c: c.vectors.select("id", "embedding")
+_known = lambda c: c.vectors.select("id", F.col("label").alias("person_id"), "embedding")
+_vetoes = lambda c: c.vectors.select("id", ((F.col("label") + 1) % 10).alias("person_id"), "embedding")
+_add("knn_vote", lambda c: entity.knn_vote(_probes(c), _known(c), None, 5, 0.85, others=True), _PICK.format(v="vote"), _U + "," + _KNN)
 _add(
     "knn_vote_negatives",
-    lambda c: entity.knn_vote(_probes(c), _known(c), _vetoes(c), 5, 0.85),
+    lambda c: entity.knn_vote(_probes(c), _known(c), _vetoes(c), 5, 0.85, others=True),
     _PICK.format(v="(SELECT vote.probe, vote.person, votes - coalesce(k, 0) votes, mean FROM vote LEFT JOIN neg ON neg.probe = vote.probe AND neg.person = vote.person)"),
     _U + "," + _KNN + """,
- neg AS (SELECT probe, person, count(*) k FROM (SELECT p.id probe, n.person, 1 - list_dot_product(p.v, n.v) d FROM (SELECT * FROM u WHERE id % 2 = 0) p JOIN (SELECT id, (label + 1) % 10 person, v FROM u WHERE id % 10 = 3) n ON 1 - list_dot_product(p.v, n.v) <= 0.85 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, n.id) <= 5) GROUP BY ALL)""",
+ neg AS (SELECT probe, person, count(*) k FROM (SELECT p.id probe, n.person, 1 - list_dot_product(p.v, n.v) d FROM u p JOIN (SELECT id, (label + 1) % 10 person, v FROM u) n ON p.id <> n.id AND 1 - list_dot_product(p.v, n.v) <= 0.85 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, n.id) <= 5) GROUP BY ALL)""",
 )
 _IOU = "w * h / ((o.bw * o.bh + n.bw * n.bh) - w * h)::DOUBLE"
-_PAIRS = f"""SELECT o.photo_id, o.id old_id, n.id new_id, greatest(0, least(o.bx + o.bw, n.bx + n.bw) - greatest(o.bx, n.bx)) w, greatest(0, least(o.byy + o.bh, n.byy + n.bh) - greatest(o.byy, n.byy)) h, round({_IOU}, 6) iou FROM faces o JOIN faces n ON o.photo_id = n.photo_id AND o.id % 2 = 1 AND n.id % 2 = 0"""
-_add("iou_pairs", lambda c: entity.iou_pairs(c.faces.filter("id % 2 = 1"), c.faces.filter("id % 2 = 0"), 0.3), f"SELECT photo_id, old_id, new_id, iou FROM ({_PAIRS}) WHERE iou >= 0.3")
-_add("iou_carry", lambda c: entity.carry_labels(c.faces.filter("id % 2 = 1").withColumn("confidence", F.lit(1.0)), c.faces.filter("id % 2 = 0"), 0.3))
+_MOVED = " moved AS (SELECT id + 1000000000 id, photo_id, bx + id % 5 bx, byy - id % 3 byy, bw, bh FROM faces)"
+_PAIRS = f"""SELECT o.photo_id, o.id old_id, n.id new_id, greatest(0, least(o.bx + o.bw, n.bx + n.bw) - greatest(o.bx, n.bx)) w, greatest(0, least(o.byy + o.bh, n.byy + n.bh) - greatest(o.byy, n.byy)) h, round({_IOU}, 6) iou FROM faces o JOIN moved n ON o.photo_id = n.photo_id"""
+
+
+def _moved(c: StarCatalog) -> DataFrame:
+    """All faces as a new detection finds them: other ids, boxes a little off."""
+    b, i = F.col("bbox"), F.col("id")
+    return c.faces.select((i + 1_000_000_000).alias("id"), "photo_id", F.struct((b["x"] + i % 5).alias("x"), (b["y"] - i % 3).alias("y"), b["w"].alias("w"), b["h"].alias("h")).alias("bbox"))
+
+
+_add("iou_pairs", lambda c: entity.iou_pairs(c.faces, _moved(c), 0.3), f"SELECT photo_id, old_id, new_id, iou FROM ({_PAIRS}) WHERE iou >= 0.3", _MOVED)
+_add("iou_carry", lambda c: entity.carry_labels(c.faces.withColumn("confidence", F.lit(1.0)), _moved(c), 0.3))
 _add(
     "region_box",
     lambda c: c.faces.select("id", media.region_box(F.col("bbox.x"), F.col("bbox.y"), F.col("bbox.w"), F.col("bbox.h"), F.lit(90), F.lit(100)).alias("r")).select("id", "r.*"),
@@ -401,8 +416,8 @@ _add(
 )
 _add(
     "export_plan",
-    lambda c: mutate.export_plan(c.photo_attributes().withColumn("filename", F.concat(F.lit("p"), (F.col("id") % 50).cast("string"), F.lit(".jpg"))), c.spark.range(300).select((F.col("id") * 3 + 1).alias("id")), "/out").select("id", "target"),
-    "SELECT i.id, '/out/p' || (i.id % 50) || CASE WHEN row_number() OVER (PARTITION BY i.id % 50, p.id IS NULL ORDER BY i.id) = 1 THEN '' ELSE '_' || i.id END || CASE WHEN p.id IS NOT NULL THEN '.jpg' END target FROM (SELECT x * 3 + 1 id FROM range(300) t(x)) i LEFT JOIN photos p ON p.id = i.id",
+    lambda c: mutate.export_plan(c.photo_attributes().withColumn("filename", F.concat(F.lit("p"), (F.col("id") % 50).cast("string"), F.lit(".jpg"))), c.photo_attributes().select(F.explode(F.array("id", -1 - F.col("id"))).alias("id")), "/out").select("id", "target"),
+    "SELECT id, '/out/p' || (id % 50) || CASE WHEN row_number() OVER (PARTITION BY id % 50 ORDER BY id) = 1 THEN '' ELSE '_' || id END || '.jpg' target FROM photos UNION ALL SELECT -1 - id, NULL FROM photos",
 )
 _add(
     "integrity",
@@ -411,6 +426,135 @@ _add(
 )
 
 
+# ---- ranked pages and questions ------------------------------------------------------------------
+def _answer(c: StarCatalog, text: str, filters: dict[str, Any], limit: int, offset: int) -> DataFrame:
+    e = Engine(c, c.vectors.select("id", "embedding"), c.vectors, encode=lambda _: _QUERY)
+    a = e.ask(text, filters, limit, offset)
+    return a.rows.select("id", "filename", "score", "rank", F.lit(a.total).cast("long").alias("total"))
+
+
+_PAGE = "SELECT t.id, filename, score, rank, total FROM (SELECT *, row_number() OVER (ORDER BY score DESC, {t}) rank, least(200, count(*) OVER ()) total FROM ({s})) t JOIN photos p ON p.id = t.id WHERE rank > {o} AND rank <= {o} + 30"
+_add("semantic_page", lambda c: _answer(c, "boats at sea", _BASE, 30, 10), _PAGE.format(s=f"SELECT id, {_SCORE} score FROM vectors WHERE id IN (SELECT id FROM photos WHERE {_BASE_SQL})", t="id", o=10))
+_add(
+    "grounded_page",
+    lambda c: _answer(c, "Supplier#000000002 at sea", {"person_id": list(range(1, 90)), "person_mode": "any"}, 30, 2),
+    _PAGE.format(s=_BEST.format(s=f"SELECT id, photo_id, {_SCORE} score FROM vectors WHERE label = 2 AND photo_id IN (SELECT id FROM photos WHERE NOT hidden AND id IN (SELECT photo_id FROM faces WHERE person_id BETWEEN 1 AND 89))"), t="face_id", o=2),
+)
+_add(
+    "ask_filters",
+    lambda c: Engine(c).ask("Supplier#000000003", {"person_id": [7], "scene": "food"}).rows.select("id", "filename", "rank"),
+    "SELECT id, filename, rank FROM (SELECT *, row_number() OVER (ORDER BY taken_at DESC NULLS LAST, id DESC) rank FROM photos WHERE NOT hidden AND scene_type = 'food' AND id IN (SELECT photo_id FROM faces WHERE person_id IN (3, 7))) WHERE rank <= 60",
+)
+_add("cosine_distance", lambda c: c.vectors.select("id", F.round(cosine_distance(F.col("embedding").cast("array<double>"), literal(_QUERY)), 6).alias("d")), f"SELECT id, round(1 - list_dot_product(embedding::DOUBLE[], {_Q}) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product({_Q}, {_Q})), 6) d FROM vectors")
+
+# ---- files and their metadata ----------------------------------------------------------------------
+_LISTED_SQL = "SELECT path || CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN '.MOV' WHEN 2 THEN '.HEIC' WHEN 3 THEN '.txt' ELSE '.webm' END path FROM photos"
+
+
+def _listing(c: StarCatalog) -> DataFrame:
+    i = F.col("id") % 5
+    return c.photo_attributes().select("id", F.concat("path", F.when(i == 0, "").when(i == 1, ".MOV").when(i == 2, ".HEIC").when(i == 3, ".txt").otherwise(".webm")).alias("path"))
+
+
+_add(
+    "media_kinds",
+    lambda c: files.routed(_listing(c).select("path"), ["/library/1995"]),
+    f"SELECT path, CASE WHEN regexp_matches(lower(path), '\\.(jpg|heic)$') THEN 'photo' WHEN regexp_matches(lower(path), '\\.(mov|webm)$') THEN 'video' ELSE 'other' END kind FROM ({_LISTED_SQL}) WHERE path NOT LIKE '/library/1995/%'",
+)
+_add("content_hash", lambda c: c._t("documents").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("sha1")), "SELECT doc_id, sha1(text) AS sha1 FROM documents")  # noqa: SLF001
+_FILES = """ f AS (SELECT event_id, '/in/2019_Sardegna/' || CASE event_id % 4 WHEN 0 THEN 'IMG_' || strftime(ts, '%Y%m%d_%H%M%S') || '.jpg' ELSE 'DSC_' || event_id || '.jpg' END path, ts, event_id % 3 = 0 tagged, event_id % 3 = 1 probed, user_id FROM events)"""
+
+
+def _files(c: StarCatalog) -> DataFrame:
+    i, ts = F.col("event_id"), F.col("ts")
+    exif = F.create_map(F.lit("DateTime"), F.date_format(ts, "yyyy:MM:dd HH:mm:ss"), F.lit("DateTimeOriginal"), F.when(i % 2 == 0, F.date_format(ts, "yyyy-MM-dd 10:00:00")).otherwise("0000:00:00 00:00:00"), F.lit("Make"), F.lit(" Cam\0"), F.lit("Model"), F.lit("  "), F.lit("GPSLatitude"), F.format_string("%d/1, 30/1, 0/1", F.col("user_id").cast("long")), F.lit("GPSLatitudeRef"), F.lit("S"), F.lit("GPSLongitude"), F.lit("12, 0, 36"), F.lit("GPSLongitudeRef"), F.when(i % 5 == 0, F.lit("W")).otherwise("E"))
+    container = F.format_string('{"format": {"tags": {"creation_time": "%s"}}, "streams": []}', F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.000000'Z'"))
+    name = F.when(i % 4 == 0, F.concat(F.lit("IMG_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(".jpg"))).otherwise(F.concat(F.lit("DSC_"), i.cast("string"), F.lit(".jpg")))
+    return c._t("events").select("event_id", F.concat(F.lit("/in/2019_Sardegna/"), name).alias("path"), F.col("ts").alias("modified"), F.when(i % 3 == 0, exif).alias("exif"), F.when(i % 3 == 1, container).alias("probe"))  # noqa: SLF001
+
+
+_add(
+    "described_files",
+    lambda c: files.described(_files(c), F.col("exif"), 2027, F.col("probe")).select("event_id", "filename", "taken_at", "taken_source", "folder_place", "lat", "lon", "camera_make", "camera_model"),
+    """SELECT event_id, split_part(path, '/', 4) filename, CASE WHEN tagged AND event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT10:00:00') WHEN tagged OR probed OR event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE '2019-01-01T00:00:00' END taken_at,
+       CASE WHEN tagged THEN 'exif' WHEN probed THEN 'video' WHEN event_id % 4 = 0 THEN 'filename' ELSE 'folder' END taken_source, 'Sardegna' folder_place,
+       CASE WHEN tagged AND user_id + 0.5 <= 90 THEN -(user_id + 0.5::DOUBLE) END lat, CASE WHEN tagged THEN CASE WHEN event_id % 5 = 0 THEN -12.01::DOUBLE ELSE 12.01::DOUBLE END END lon, CASE WHEN tagged THEN 'Cam' END camera_make, CAST(NULL AS VARCHAR) camera_model FROM f""",
+    _FILES,
+)
+_add("exif_times", lambda c: c._t("events").select("event_id", media.exif_time(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", " yyyy:MM:dd HH:mm:ss ")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("0000:00:00 00:00:00"))).alias("t")),  # noqa: SLF001
+     "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END t FROM events")
+_add(
+    "derivative_paths",
+    lambda c: c.photo_attributes().select("id", media.content_path("/t", F.col("sha1"), 320).alias("thumb"), media.content_path("/t", F.col("sha1")).alias("whole"), media.poster_path("/t", F.col("sha1")).alias("poster")),
+    "SELECT id, '/t/' || substr(sha1, 1, 2) || '/' || sha1 || '_320.jpg' thumb, '/t/' || substr(sha1, 1, 2) || '/' || sha1 || '.jpg' whole, '/t/' || substr(sha1, 1, 2) || '/' || sha1 || '_poster.jpg' poster FROM photos",
+)
+_add("scene_scores", lambda c: c.photo_attributes().select("id", media.scores_json(F.create_map(F.lit("people"), F.col("id") % 7, F.lit("other"), F.lit(1))).alias("scores")), """SELECT id, '{"people":' || id % 7 || ',"other":1}' scores FROM photos""")
+_add("place_labels", lambda c: c.photo_attributes().select("id", media.place_label(F.col("place_city"), F.col("place_country")).alias("label")), "SELECT id, place_label AS label FROM photos")
+_add("xml_texts", lambda c: c._t("conversations").select("conv_id", "turn", F.md5(media.xml_escape(F.col("text")).cast("binary")).alias("m")), "SELECT conv_id, turn, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) m FROM conversations")  # noqa: SLF001
+_add(
+    "geocoded_files",
+    lambda c: files.geocoded(c.photos.select("id", "lat", "lon"), c.spark.createDataFrame([(i, *x) for i, x in enumerate(_CITIES)], "n int, name string, country string, clat double, clon double")).select("id", "place_city", "place_label"),
+    f"SELECT p.id, x.city place_city, x.city || ', ' || x.country place_label FROM photos p LEFT JOIN (SELECT t.id, arg_min(name, (k, n)) city, arg_min(country, (k, n)) country FROM (SELECT p.id, n, name, c.country, 2 * 6371.0::DOUBLE * asin(least(1.0, sqrt(pow(sin((radians(clat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) k FROM photos p, (VALUES {_CITY_ROWS}) c(n, name, country, clat, clon) WHERE lat IS NOT NULL) t GROUP BY t.id) x ON x.id = p.id",
+)
+
+# ---- changes, row by row ---------------------------------------------------------------------------
+
+def _searches(c: StarCatalog) -> DataFrame:
+    return c.persons.select("id", "name", F.concat(F.lit("q="), F.col("id").cast("string")).alias("query"))
+
+
+_SEARCH = "SELECT id, name, 'q=' || id AS query FROM persons"
+_add(
+    "replace_faces",
+    lambda c: mutate.replace_faces(c.faces.select("id", "photo_id", "person_id"), c.photo_attributes().filter("scene_type = 'food'").select((F.col("id") + 1_000_000_000).alias("id"), F.col("id").alias("photo_id"), F.lit(1).cast("long").alias("person_id"))),
+    "SELECT id, photo_id, person_id FROM faces WHERE photo_id NOT IN (SELECT id FROM photos WHERE scene_type = 'food') UNION ALL SELECT id + 1000000000, id, 1 FROM photos WHERE scene_type = 'food'",
+)
+_add(
+    "set_embedding",
+    lambda c: mutate.set_column(c.vectors.select("id", "embedding"), "embedding", c.vectors.filter("label = 3").select("id", F.reverse("embedding").alias("value"))).select("id", F.element_at("embedding", 1).alias("first")),
+    "SELECT id, CASE WHEN label = 3 THEN embedding[64] ELSE embedding[1] END AS first FROM vectors",
+)
+_add(
+    "set_region_embedding",
+    lambda c: mutate.set_column(c.faces.select("id", F.lit(None).cast("array<float>").alias("region_embedding")), "region_embedding", c.faces.filter("person_id is not null").select("id", F.array(F.col("confidence").cast("float")).alias("value"))).select("id", F.round(F.get("region_embedding", F.lit(0)).cast("double"), 3).alias("x")),
+    "SELECT id, CASE WHEN person_id IS NOT NULL THEN round(confidence::FLOAT::DOUBLE, 3) END x FROM faces",
+)
+_add(
+    "backfill_phash",
+    lambda c: (lambda p: mutate.set_column(p, "phash", mutate.missing(p, "phash", videos=False).select("id", F.substring(F.md5("path"), 1, 16).alias("value"))).select("id", "phash"))(c.photo_attributes().withColumn("phash", F.when(F.col("id") % 4 == 0, "00"))),
+    "SELECT id, CASE WHEN id % 4 = 0 THEN '00' WHEN NOT is_video THEN substr(md5(path), 1, 16) END phash FROM photos",
+)
+_add(
+    "retag_scenes",
+    lambda c: mutate.set_column(c.photo_attributes(), "scene_type", mutate.missing(c.photo_attributes(), "scene_type", recompute=True).filter("favorite").select("id", F.lit("plants").alias("value"))).select("id", "scene_type"),
+    "SELECT id, CASE WHEN favorite THEN 'plants' ELSE scene_type END scene_type FROM photos",
+)
+_add("photos_with_open_faces", lambda c: mutate.with_faces(c.photo_attributes(), mutate.missing(c.faces, "crop_path")).select("id"), "SELECT id FROM photos WHERE id IN (SELECT photo_id FROM faces WHERE crop_path IS NULL)")
+_add("recount", lambda c: mutate.recount(c.photo_attributes(), c.faces).select("id", "face_count", "named_face_count"), "SELECT p.id, CAST(count(f.id) AS INT) face_count, CAST(count(person_id) AS INT) named_face_count FROM photos p LEFT JOIN faces f ON f.photo_id = p.id GROUP BY p.id")
+_add("meta_bump", lambda c: mutate.bump_meta(c.persons.select(F.col("name").alias("key"), F.col("id").alias("value")), "Supplier#000000005"), "SELECT name AS \"key\", id + CASE WHEN name = 'Supplier#000000005' THEN 1 ELSE 0 END AS value FROM persons")
+_add("meta_get", lambda c: mutate.get_meta(c.persons.select(F.col("name").alias("key"), F.col("id").alias("value")), "Supplier#000000005"), "SELECT id AS value FROM persons WHERE name = 'Supplier#000000005'")
+_add("negatives_added", lambda c: mutate.add_negatives(c.negatives, c.faces.filter("person_id is not null").select(F.col("id").alias("face_id"), "person_id")), "SELECT * FROM negatives UNION SELECT id, person_id FROM faces WHERE person_id IS NOT NULL")
+_add("negatives_removed", lambda c: mutate.remove_negatives(c.negatives, c.negatives.filter("person_id < 5")), "SELECT * FROM negatives WHERE person_id >= 5")
+_add("person_created", lambda c: mutate.create_person(c.persons, " Ada "), "SELECT id, name, cover_face_id FROM persons UNION ALL SELECT max(id) + 1, 'Ada', NULL FROM persons")
+_add("person_found", lambda c: mutate.create_person(c.persons, "Supplier#000000005"), "SELECT id, name, cover_face_id FROM persons")
+_add("person_renamed", lambda c: mutate.rename_person(c.persons, 5, "Ada"), "SELECT id, CASE WHEN id = 5 THEN 'Ada' ELSE name END AS name, cover_face_id FROM persons")
+_add("person_deleted", lambda c: mutate.delete_person(c.persons, c.faces, 5)[1].select("id", "person_id"), "SELECT id, CASE WHEN person_id <> 5 THEN person_id END person_id FROM faces")
+_add("face_unassigned", lambda c: mutate.unassign_face(c.faces, c.negatives, 449)[0].select("id", "person_id"), "SELECT id, CASE WHEN id <> 449 THEN person_id END person_id FROM faces")
+_add("search_saved", lambda c: mutate.save_search(_searches(c), " Supplier#000000005 ", "q=new"), f"SELECT id, name, CASE WHEN id = 5 THEN 'q=new' ELSE query END AS query FROM ({_SEARCH})")
+_add("search_created", lambda c: mutate.save_search(_searches(c), "sea", "q=sea"), f"{_SEARCH} UNION ALL SELECT max(id) + 1, 'sea', 'q=sea' FROM persons")
+_add("search_deleted", lambda c: mutate.list_searches(mutate.delete_search(_searches(c), 5)), f"SELECT * FROM ({_SEARCH}) WHERE id <> 5")
+_add(
+    "orphan_crops",
+    lambda c: mutate.orphans(c.photo_attributes().select(F.concat(F.lit("/crops/"), F.col("id").cast("string"), F.when(F.col("id") % 9 == 0, "/1.jpg.part").otherwise("/1.jpg")).alias("path")), c.photo_attributes().filter("not hidden").select("id", "sha1"), "/crops"),
+    "SELECT '/crops/' || id || CASE WHEN id % 9 = 0 THEN '/1.jpg.part' ELSE '/1.jpg' END path FROM photos WHERE hidden OR id % 9 = 0",
+)
+_add(
+    "prune_below",
+    lambda c: mutate.pruned(c.photo_attributes(), c.photo_attributes().filter("favorite").select("path"), "/library/1995").select("id"),
+    "SELECT id FROM photos WHERE favorite OR path NOT LIKE '/library/1995/%'",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered, sorted page of photos with people in them."""
     c = StarCatalog(spark, sf_dir)

@@ -117,6 +117,18 @@ def test_store_versions(spark, tmp_path):
     assert s.fingerprint("photos") == (2, 1, 1)
 
 
+def test_of_two_writers_of_a_version_one_fails(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"{tmp_path}/s")
+    one = spark.range(3)
+    store.commit({"t": one})
+    late = Store(spark, f"{tmp_path}/s")
+    monkeypatch.setattr(late, "version", lambda: 0)  # it looked before the first commit
+    with pytest.raises(RuntimeError):
+        late.commit({"t": spark.range(9)})
+    assert store.version() == 1 and store.read("t").count() == 3 and store.tables().keys() == {"t"}
+    assert store.commit({"u": one}) == 2 and store.read("t", 1).count() == 3 and set(store.tables()) == {"t", "u"}
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     s = Store(spark, str(tmp_path / "lib"))
     s.commit({"photos": photos(spark)})

@@ -172,6 +172,32 @@ def test_labels_are_carried_once(spark):
 PERSONS = [{"id": 1, "name": "Stefano"}, {"id": 2, "name": "Anna"}, {"id": 3, "name": "Anna Maria"}]
 
 
+def test_labels_are_carried_as_a_loop_carries_them(spark, sf):
+    """iou_carry, whole: pairs by overlap, then the later new face, then the later old one, one to one."""
+    from shutterlake import registry
+    from shutterlake.catalog import StarCatalog
+
+    c = StarCatalog(spark, sf)
+    old, new = [r for r in c.faces.collect() if r["person_id"] is not None], registry._moved(c).collect()
+    by: dict[int, list] = {}
+    for r in new:
+        by.setdefault(r["photo_id"], []).append(r)
+
+    def overlap(a, b):
+        w = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
+        h = max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
+        return round(w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h), 6)
+
+    pairs = [(overlap(o["bbox"], n["bbox"]), n["id"], o["id"], o["person_id"]) for o in old for n in by.get(o["photo_id"], ())]
+    used, want = set(), set()
+    for x, n, o, who in sorted(pairs, reverse=True):
+        if x >= 0.3 and n not in used and -o - 1 not in used:
+            used |= {n, -o - 1}
+            want.add((n, who))
+    got = {(r["new_id"], r["person_id"]) for r in registry.QUERIES["iou_carry"](spark, sf).collect()}
+    assert got == want and len(want) > 1000
+
+
 def test_questions(spark):
     read = planner.Reader(PERSONS).read
     q = read("a photo of Stefano eating food")
