@@ -74,8 +74,14 @@ class Scratch:
         fs.delete(p, True) if what == "delete" else fs.deleteOnExit(p)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.top}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """df as a written table. Its tasks are joined up to the advisory size, not to one a core: small tables are few files."""
+        path, key = f"{self.top}/{name}", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(key, "true")
+        self.spark.conf.set(key, "false")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

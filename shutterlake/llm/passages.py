@@ -300,13 +300,11 @@ def repeated_spans(docs: DataFrame, chunk: int = CHUNK, words: int | None = None
     scratch.settle()
     # a core that has one hull alone repeats as a whole wherever it stands: only others need ranks
     again, on = _rerank(units.filter("not same"), scratch, "0", ("kind",))
-    found = [scratch.save(again.unionByName(units.filter("same").select("key", "lo", "hi", "kind")).distinct(), "again-0")]
-    on = scratch.save(on, "on-0")
+    found = [again.unionByName(units.filter("same").select("key", "lo", "hi", "kind"))]
 
     asked = on.groupBy("key").agg(F.collect_list(F.struct("kind", "p", "lo", "hi", "w")).alias("units"))
     around = distinct_texts(docs.filter(F.octet_length("text") >= least)).join(dealt(asked), "key")
     around = scratch.save(by_batch("kind int, key binary, p int, lo int, hi int, w int, n int, at int, bytes binary, h long", _contexts(words or 0))(around), "around")
-    scratch.drop("shared", "on-0", "hulls-0", "cores-0")
     scratch.settle()
     near = around.filter("kind = 0")
     for k, step in enumerate(STEPS, 1):
@@ -316,10 +314,7 @@ def repeated_spans(docs: DataFrame, chunk: int = CHUNK, words: int | None = None
             wide = on.join(dealt(near.select("key", "p", "n", "at", "bytes")), ["key", "p"])
         units = scratch.save(_units(step)(wide.select("key", "p", "lo", "hi", "w", "n", "at", "bytes")), f"units-{k}")
         again, on = _rerank(units, scratch, str(k))
-        found.append(scratch.save(again, f"again-{k}"))
-        if step > 1:
-            on = scratch.save(on, f"on-{k}")
-        scratch.drop(f"units-{k}", f"on-{k - 1}", f"hulls-{k}", f"cores-{k}")
+        found.append(again)
         scratch.settle()
     ends = lambda df: df.select("key", "kind", "lo", F.when(F.col("kind") == 0, F.col("hi") + LENGTH).otherwise(F.col("hi")).alias("hi"))
     windows = ends(found[0])
