@@ -256,8 +256,8 @@ def _units(step: int):
     return by_batch("key binary, p int, w int, core long, hull long, lo int, hi int", cut)
 
 
-def _rerank(units: DataFrame, scratch: Scratch, name: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(units whose hull repeats: key, lo, hi and more; one unit of each hull that must be cut further).
+def _rerank(units: DataFrame, scratch: Scratch, name: str, more: tuple[str, ...] = (), asked: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(units, of those asked about, whose hull repeats: key, lo, hi and more; one unit of each hull that must be cut further).
 
     w: 2 for a unit that stands for several, whose bytes an earlier round has taken. What is grouped
     is written before it is joined, so that both sides of each join are dealt for it, and a core or
@@ -265,7 +265,7 @@ def _rerank(units: DataFrame, scratch: Scratch, name: str, more: tuple[str, ...]
     """
     hulls = units.groupBy("core", "hull").agg(F.sum("w").alias("c"), F.min(F.struct("key", "p", "lo", "hi", *more)).alias("u"))
     hulls = scratch.save(hulls, f"hulls-{name}")
-    again = units.filter("w = 1").join(hulls.filter("c > 1").select("core", "hull"), ["core", "hull"]).select("key", "lo", "hi", *more)
+    again = units.filter("w = 1").filter(asked if asked is not None else F.lit(True)).join(hulls.filter("c > 1").select("core", "hull"), ["core", "hull"]).select("key", "lo", "hi", *more)
     cores = hulls.groupBy("core").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1 and least = 1").select("core")
     cores = scratch.save(cores, f"cores-{name}")
     on = hulls.join(cores, "core").select("u.*", F.least("c", F.lit(2)).cast("int").alias("w"))
@@ -293,14 +293,17 @@ def repeated_spans(docs: DataFrame, chunk: int = CHUNK, words: int | None = None
     least = min(LENGTH, 2 * words - 1) if words else LENGTH
     units = by_batch("key binary, kind int, core long, hull long, p int, lo int, hi int", _scan(chunk, words))(docs.filter(F.octet_length("text") >= least))
     units = scratch.save(units, "units")
-    company = units.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("hull") == F.max("hull")).alias("same")).filter("n > 1").select("core", "same")
+    # each core's commonest hull is settled by the join that finds company: a passage that very many texts share needs no more
+    counts = units.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"))
+    company = counts.groupBy("core").agg(F.sum("n").alias("n"), F.max(F.struct("n", "hull")).alias("top"), F.count(F.lit(1)).alias("hulls")).filter("n > 1")
+    company = company.select("core", F.when(F.col("top.n") > 1, F.col("top.hull")).alias("top"), (F.col("hulls") == 1).alias("same"))
     company = scratch.save(company, "company")
     units = scratch.save(units.join(dealt(company), "core").withColumn("w", F.lit(1)), "shared")
     scratch.drop("units", "company")
     scratch.settle()
     # a core that has one hull alone repeats as a whole wherever it stands: only others need ranks
-    again, on = _rerank(units.filter("not same"), scratch, "0", ("kind",))
-    found = [again.unionByName(units.filter("same").select("key", "lo", "hi", "kind"))]
+    again, on = _rerank(units.filter("not same"), scratch, "0", ("kind",), F.coalesce(F.col("hull") != F.col("top"), F.lit(True)))
+    found = [again.unionByName(units.filter("hull = top").select("key", "lo", "hi", "kind"))]
 
     asked = on.groupBy("key").agg(F.collect_list(F.struct("kind", "p", "lo", "hi", "w")).alias("units"))
     around = distinct_texts(docs.filter(F.octet_length("text") >= least)).join(dealt(asked), "key")
