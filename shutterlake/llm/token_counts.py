@@ -29,6 +29,8 @@ LIMIT = 2048
 #: Words whose counts a task keeps.
 KEPT_WORDS = 400_000
 _END = "</w>"
+#: What every special string holds.
+_OPENS = "<|"
 #: Letters lower-cased by newer character tables than Python's.
 _NEW_LOWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
 #: Unassigned code points that the regex module takes for letters.
@@ -52,6 +54,8 @@ def load_spec(path: str) -> dict[str, Any]:
     split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     if j["model"].get("end_of_word_suffix") != _END or not split["invert"]:
         raise ValueError("this counter knows word-end BPE vocabularies whose split keeps its matches")
+    if not all(_OPENS in t["content"] for t in j["added_tokens"]):
+        raise ValueError(f"this counter looks for special strings only in texts that hold {_OPENS}")
     pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"])
     return {
         "ranks": {p: i for i, p in enumerate(pairs)},
@@ -84,7 +88,7 @@ class Counter(dict):
 
     def count(self, text: str) -> int:
         """Tokens of a text; each special string in it is one token and parts the text."""
-        if "<|" not in text:
+        if _OPENS not in text:
             return self._plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self._plain, parts))

@@ -589,3 +589,128 @@ def test_language_evidence_without_text(spark):
     got = {r["page_id"]: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
     assert (got[200]["lang"], got[200]["text_lang"], got[200]["declared"]) == ("fr", None, "fr") and got[201]["lang"] == "en"
     assert language.visible(b"<style>x</style>A<!-- b --><b>C</b>").split() == [b"a", b"c"]
+
+
+def test_resampling_equals_plain_counts(spark):
+    """Weights, toxicity, limits, k and the selection of a small table, counted by dictionaries."""
+    import math
+
+    rng = random.Random(7)
+    good, bad, vile = [f"good{i}" for i in range(30)], [f"Junk{i}!" for i in range(30)], ["awful", "vile"]
+    rows = []
+    for i in range(80):
+        words = rng.choices(good if i % 2 else bad, k=rng.randint(5, 40)) + (rng.choices(vile, k=2) if i % 10 == 3 else [])
+        rows.append((i, " ".join(words)))
+    rows += [(100, None), (101, " "), (None, "good1 good2"), (7, rows[7][1])]
+    labels = [(i, i % 2 == 1 and i % 10 != 3, i % 10 == 3) for i in range(0, 60)]
+    docs, lab = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(labels, "doc_id long, target boolean, toxic boolean")
+    got = importance.importance_resample(docs, lab).select("doc_id", "log_weight", "score", "kept").collect()
+    B = importance.WORD_BUCKETS
+    grams = [(i, importance.ngrams((t or "").encode()).tolist()) for i, t in rows]
+    say = {i: (t, x) for i, t, x in labels}
+    raw, target, has = {}, {}, ({}, {})
+    sizes = [0, 0]
+    for i, g in grams:
+        for b in g:
+            raw[b] = raw.get(b, 0) + 1
+            if i in say and say[i][0]:
+                target[b] = target.get(b, 0) + 1
+        if i in say:
+            kind = 0 if say[i][1] else 1
+            sizes[kind] += 1
+            for b in {b for b in g if b < B}:
+                has[kind][b] = has[kind].get(b, 0) + 1
+    part = lambda c, words: sum(n for b, n in c.items() if (b < B) == words)
+    share = {w: max(part(target, w), 1) / max(part(raw, w), 1) for w in (True, False)}
+
+    def weight(i, g):
+        own = {b: g.count(b) for b in set(g)} if i in say and say[i][0] else {}
+        s = 0.0
+        for b in g:
+            p = share[b < B]
+            s += math.log((max(target.get(b, 0) - own.get(b, 0), 0) + importance.SMOOTH * p) / (raw[b] + importance.SMOOTH) / p)
+        return s
+
+    def toxicity(i, g):
+        said = []
+        for b in {b for b in g if b < B}:
+            mine = [i in say and say[i][1], i in say and not say[i][1]]
+            n = [max(has[k].get(b, 0) - mine[k], 0) for k in (0, 1)]
+            p = [(n[k] + importance.DRAWN) / (sizes[k] - mine[k] + 2 * importance.DRAWN) for k in (0, 1)]
+            said.append(math.log(p[0] / p[1]) if n[0] else 0.0)
+        return sum(sorted(said)[-importance.STRONGEST :])
+
+    w, x = [weight(i, g) for i, g in grams], [toxicity(i, g) for i, g in grams]
+    by_id = lambda v: {i: min(y for (j, g), y in zip(grams, v, strict=True) if j == i and g) for i, g in grams if i in say and g}
+    ws, xs = by_id(w), by_id(x)
+    limit = importance.limit_between([ws[i] for i in ws if say[i][0] and not say[i][1]], [ws[i] for i in ws if not say[i][0] and not say[i][1]])
+    most = importance.limit_between([xs[i] for i in xs if say[i][1]], [xs[i] for i in xs if say[i][0]])
+    noise = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
+    score = [a - math.log(-math.log((((noise[i] >> 11) & ((1 << 53) - 1)) + 0.5) / 2.0**53)) for (i, _), a in zip(grams, w, strict=True)]
+    may = [bool(g) and t <= most for (_, g), t in zip(grams, x, strict=True)]
+    k = sum(m and a > limit for m, a in zip(may, w, strict=True))
+    least = sorted((s for s, m in zip(score, may, strict=True) if m), reverse=True)[k - 1]
+    want = sorted(((i, round(a, 6), round(s, 6), m and s >= least) for (i, _), a, s, m in zip(grams, w, score, may, strict=True)), key=repr)
+    assert sorted(((r["doc_id"], round(r["log_weight"], 6), round(r["score"], 6), r["kept"]) for r in got), key=repr) == want
+    assert 0 < sum(r["kept"] for r in got) < len(got) and not any(r["kept"] for r in got if r["doc_id"] in say and say[r["doc_id"]][1])
+
+
+def test_language_equals_plain_fusion(spark):
+    """Every likelihood and prior of a small table, by loops."""
+    import math
+
+    rng = random.Random(9)
+    voc = {"de": "der die das und ist nicht".split(), "en": "the and is not of to".split(), "fr": "le la les et est pas".split()}
+    some = lambda lang, k: " ".join(rng.choices(voc[lang], k=k))
+    docs = [(i, some(lang, 30), lang) for i, lang in enumerate(sorted(voc) * 8)]
+    hosts = ["a.b.de", "x.b.de", "www.c.com", "c.com", "f.fr", ""]
+    pages = []
+    for i in range(60):
+        host, lang = rng.choice(hosts), rng.choice(sorted(voc))
+        path = rng.choice(["/", "/fr/x", "/de", "/long/x", ""])
+        url = rng.choice([f"http://{host}{path}", f"http://{host}{path}", None, "nothing"])
+        html = rng.choice([f"<html lang='{rng.choice(['de', 'EN', 'xx', lang])}'><p>{some(lang, rng.randint(1, 9))}", f"<p>{some(lang, 5)}", "", None])
+        pages.append((i, url, html))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    p = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r for r in language.identify(p, d).collect()}
+    langs, n = sorted(voc), len(voc)
+    logs = []
+    for lang in langs:
+        c = [0.5] * language.BUCKETS
+        for _, t, x in docs:
+            if x == lang:
+                for b in language.trigrams(t.encode()).tolist():
+                    c[b] += 1
+        logs.append([math.log(v / sum(c)) for v in c])
+    rows = []
+    for i, url, html in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        part = re.match(r"/([a-z]{2})(?:/|$)", path)
+        said = re.search(r"<html lang='(\w+)'", html or "")
+        text = language.visible((html or "").encode())
+        x = [language.TEMPER * sum(lg[b] for b in language.trigrams(text).tolist()) if text.strip() else 0.0 for lg in logs]
+        x = [max(v - max(x), -language.MOST_TEXT) for v in x]
+        t = [math.exp(v) / sum(map(math.exp, x)) for v in x]
+        labels = host.split(".")
+        rows.append((i, x, t, {"said": said[1].lower() if said else "", "suffix": f"{labels[-1]}/{part[1] if part else ''}", "top": labels[-1], "domain": ".".join(labels[-2:]), "host": host}))
+    whole = [sum(t[k] for _, _, t, _ in rows) for k in range(n)]
+    base = [(w + 1) / (sum(whole) + n) for w in whole]
+    for i, x, t, of in rows:
+        group = {by: [sum(u[k] for _, _, u, o in rows if o[by] == of[by]) for k in range(n)] for by in of}
+        s = []
+        for k in range(n):
+            prior = base[k]
+            for by in ("top", "domain", "host"):
+                prior = (max(group[by][k] - t[k], 0) + language.DRAW * prior) / (max(sum(group[by]) - 1, 0) + language.DRAW)
+            v = x[k] + math.log(prior)
+            for by in ("said", "suffix"):
+                if of[by]:
+                    v += math.log((max(group[by][k] - t[k], 0) + language.DOUBT * base[k]) / (max(sum(group[by]) - 1, 0) + language.DOUBT) / base[k])
+            s.append(v)
+        total = sum(math.exp(v - max(s)) for v in s)
+        assert got[i]["host"] == of["host"] and abs(got[i]["probability"] - 1 / total) < 1e-6, i
+        if sorted(s)[-1] - sorted(s)[-2] > 1e-9:
+            assert got[i]["lang"] == langs[s.index(max(s))], i
