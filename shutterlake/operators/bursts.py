@@ -2,7 +2,8 @@
 
 Two photos link if their times are within the gap and their hashes differ in few bits; a burst is a
 connected component. Pairs come from an equi-join on time slots of the gap's length, each photo
-looking into its own slot and the next, so no range join or nested loop is planned.
+looking into its own slot and the next, so no range join or nested loop is planned. Bursts need no
+pairs of equal photos: those of one slot and hash are one class, all linked, and classes are joined.
 """
 
 from __future__ import annotations
@@ -27,9 +28,26 @@ def linked(photos: DataFrame, max_distance: int = 10, gap_s: float = 10.0) -> Da
     return pairs.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).filter("a <> b")
 
 
+def chained(photos: DataFrame, max_distance: int = 10, gap_s: float = 10.0) -> DataFrame:
+    """Links (a, b) with the components of `linked`, but one a photo and one a pair of classes.
+
+    Photos of one slot and hash are linked with each other, as a slot is no longer than the gap, so a
+    class is its least id, hash, first and last time. Classes of one slot are linked by their hashes
+    alone; of a slot and the next, if also the former's last time and the latter's first are close.
+    """
+    p = photos.filter("not hidden and phash is not null and taken_at is not null").select("id", moment(F.col("taken_at")).alias("t"), phash_bits(F.col("phash")).alias("h")).filter("t is not null")
+    p = p.withColumn("slot", F.floor(F.col("t") / gap_s) if gap_s else F.col("t"))
+    classes = p.groupBy("slot", "h").agg(F.min("id").alias("head"), F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
+    members = p.join(classes.filter("n > 1").select("slot", "h", "head"), ["slot", "h"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    x = classes.select(F.col("head").alias("a"), F.col("h").alias("hx"), F.col("last").alias("end"), F.explode(F.array(F.col("slot"), F.col("slot") + 1) if gap_s else F.array("slot")).alias("slot"), F.col("slot").alias("own"))
+    near = F.bit_count(F.col("hx").bitwiseXOR(F.col("h"))) <= max_distance
+    close = F.when(F.col("own") == F.col("slot"), F.col("a") > F.col("head")).otherwise(F.col("first") - F.col("end") <= gap_s)
+    return members.unionByName(x.join(classes, "slot").filter(near & close).select("a", F.col("head").alias("b")))
+
+
 def bursts(photos: DataFrame, max_distance: int = 10, gap_s: float = 10.0, min_group: int = 2) -> DataFrame:
     """id, burst (its least id), position (1 is the cover: favourite, most pixels, least id), size."""
-    groups = components(linked(photos, max_distance, gap_s))
+    groups = components(chained(photos, max_distance, gap_s))
     p = photos.select("id", "favorite", (F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))).alias("pixels"))
     members = groups.join(p, F.col("node") == F.col("id"))
     w = Window.partitionBy("component")

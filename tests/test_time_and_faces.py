@@ -234,3 +234,33 @@ def test_nearest_city(spark):
     c = spark.createDataFrame([(0, "Rome", "Italy", 41.9, 12.5), (1, "Roma", "Italy", 41.9, 12.5), (2, "Paris", "France", 48.85, 2.35)], "n int, name string, country string, clat double, clon double")
     p = spark.createDataFrame([(1, 42.0, 12.0), (2, None, 1.0), (3, 49.0, 2.0)], "id long, lat double, lon double")
     assert [r["city"] for r in timeline.nearest_city(p, c).orderBy("id").collect()] == ["Rome", None, "Paris"]
+
+
+def test_nearest_city_looks_as_far_as_it_must(spark):
+    """Cities in cubes against all of them: near points, far ones, poles, the date line, places of garbage."""
+    rng = np.random.default_rng(5)
+    places = [(float(a), float(o)) for a, o in zip(rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400), strict=True)] + [(90.0, 0.0), (0.0, 180.0), (0.0, -180.0)]
+    c = spark.createDataFrame([(i, f"c{i}", "x", a, o) for i, (a, o) in enumerate(places)], "n int, name string, country string, clat double, clon double")
+    some = [(a + float(x), o + float(y)) for (a, o), x, y in zip(places, rng.normal(0, 0.5, 403), rng.normal(0, 0.5, 403), strict=True)]
+    some += [(float(a), float(o)) for a, o in zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True)] + [(200.0, 700.0), (89.99, -179.9), (-90.0, 5.0)]
+    got = {r["id"]: (r["city"], r["km"]) for r in timeline.nearest_city(spark.createDataFrame([(i, *x) for i, x in enumerate(some)], "id long, lat double, lon double"), c).collect()}
+    for i, (a, o) in enumerate(some):
+        p, q, k = np.radians(a), np.radians([x[0] for x in places]), np.radians([x[1] - o for x in places])
+        km = 2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(k / 2) ** 2)))
+        assert abs(got[i][1] - km.min()) < 1e-6 and km[int(got[i][0][1:])] < km.min() + 1e-6
+    empty = spark.createDataFrame([(1, 2.0, 3.0)], "id long, lat double, lon double")
+    assert timeline.nearest_city(empty, c.limit(0)).first()["city"] is None
+
+
+def test_a_long_trip_gives_its_first_photos(spark):
+    rows = [(f"2021-01-{1 + k // 3:02d}T{(k * 7) % 3 + 8:02d}:00:00", None if k < 5 else 41.0, None if k < 5 else 12.0) for k in range(60)]
+    (r,) = timeline.trips(timed(spark, rows), per_trip=7).collect()
+    order = sorted(range(60), key=lambda k: (rows[k][0], k))
+    assert (r["n"], r["sample"], r["cover"]) == (60, [k + 1 for k in order[:7]], next(k + 1 for k in order if rows[k][1]))
+
+
+def test_equal_shots_are_linked_once(spark):
+    rows = [shot(i, f"2020-01-01T00:00:0{i % 10}", f"{[0, 0xFFFF][i % 2]:016x}") for i in range(40)]
+    assert bursts.chained(spark.createDataFrame(rows, SHOT), 3, 10).count() == 38
+    groups = {(r["burst"], r["size"]) for r in bursts.bursts(spark.createDataFrame(rows, SHOT), 3, 0).collect()}
+    assert groups == {(i, 4) for i in range(10)}  # no gap: equal times only
