@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.media import iou
 from ..functions.vectors import doubles, normalize
-from ..plans.graph import components
+from ..plans.graph import checkpointed, components
 
 #: Rows of a block when all pairs of a set of vectors are compared.
 BLOCK = 2048
@@ -22,50 +23,124 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.filter("embedding is not null").withColumn("v", normalize(doubles(F.col("embedding"))))
 
 
-def close_pairs(vectors: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a > b) at cosine distance of eps or less, exactly.
+def _blocks(vectors: DataFrame, eps: float, emit: Callable, schema: str) -> DataFrame:
+    """emit(left ids, right ids, which are close, same block) of each pair of blocks of vectors (id, embedding, and core if given).
 
     The vectors are dealt into blocks; each pair of blocks is one Arrow group whose distances are one
-    matrix product, so memory is two blocks and only close pairs leave a task. The work is still that
-    of all pairs: exact radius joins in many dimensions have no smaller bound.
+    matrix product, so memory is two blocks. The work is that of all pairs: exact radius joins in many
+    dimensions have no smaller bound. What leaves a task is emit's alone.
     """
-    import numpy as np
-
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
-    dealt = unit(vectors).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
+    more = [c for c in vectors.columns if c == "core"]
+    dealt = unit(vectors).select("id", "v", *more, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = dealt.withColumn("o", other).select("id", "v", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    dealt = dealt.withColumn("o", other).select("id", "v", *more, "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         left, right = g[g["k"] == i], g[g["k"] == j]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        x, y = np.vstack(left["v"].to_list()), np.vstack(right["v"].to_list())
-        p, q = np.nonzero(1.0 - x @ y.T <= eps + 1e-12)
+            a = b = np.zeros(0, np.int64)
+        else:
+            x, y = np.vstack(left["v"].to_list()), np.vstack(right["v"].to_list())
+            close = 1.0 - x @ y.T <= eps + 1e-12
+            if i == j:
+                np.fill_diagonal(close, False)
+            a, b = emit(left, right, close, i == j)
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+    return dealt.groupBy("i", "j").applyInPandas(pairs, schema)
+
+
+def close_pairs(vectors: DataFrame, eps: float) -> DataFrame:
+    """Pairs (a > b) at cosine distance of eps or less, exactly and all of them."""
+    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
+        p, q = np.nonzero(close)
         a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
-        keep = a > b if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
+        keep = a > b if same else np.ones(len(a), bool)
+        return np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+
+    return _blocks(vectors.select("id", "embedding"), eps, emit, "a long, b long")
 
-    return dealt.groupBy("i", "j").applyInPandas(pairs, "a long, b long")
+
+def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
+    """id, n: how many others are at cosine distance of eps or less; those without any are left out."""
+    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
+        ids, n = left["id"].to_numpy(), close.sum(1)
+        if not same:
+            ids, n = np.concatenate([ids, right["id"].to_numpy()]), np.concatenate([n, close.sum(0)])
+        return ids[n > 0], n[n > 0]
+
+    return _blocks(vectors.select("id", "embedding"), eps, emit, "a long, b long").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
+
+
+def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row or column, its tree's first row) of the trees that span the links of rows with columns; columns come after rows.
+
+    Each row and column is looked at once, so a block of one dense cluster costs what its matrix does.
+    """
+    rows, cols = close.shape
+    root, seen = np.full(rows + cols, -1), np.zeros(rows + cols, bool)
+    linked = close.any(1)
+    for r in np.flatnonzero(linked).tolist():
+        if seen[r]:
+            continue
+        seen[r], new = True, np.array([r])
+        root[r] = r
+        while len(new):
+            across = np.flatnonzero(close[new].any(0) & ~seen[rows:])
+            seen[rows + across] = True
+            root[rows + across] = r
+            new = np.flatnonzero(close[:, across].any(1) & ~seen[:rows]) if len(across) else across
+            seen[new] = True
+            root[new] = r
+    at = np.flatnonzero((root >= 0) & (root != np.arange(rows + cols)))
+    return at, root[at]
 
 
 def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     """id, cluster (its least core id; null for noise).
 
     Cores have min_samples neighbours, themselves included; cores within eps share a cluster, and a
-    border point joins the least of its cores' clusters.
+    border point joins the least of its cores' clusters. A first pass over the pairs of blocks counts
+    neighbours; a second gives the trees that span each pair's links of cores, at most a row a vector,
+    and the links of points that aren't cores, of which each has fewer than min_samples. So a dense
+    cluster never leaves as its pairs. At min_samples of 2 or less a link makes cores, and one pass does.
     """
-    edges = close_pairs(vectors, eps)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cores = both.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("core"))
-    if min_samples <= 1:
-        cores = vectors.select(F.col("id").alias("core"))
-    core_edges = edges.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
-    comps = components(core_edges)
-    own = cores.join(comps, F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("cluster"))
-    border = both.join(own, F.col("b") == F.col("core")).groupBy("a").agg(F.min("cluster").alias("near"))
+    vectors = vectors.select("id", "embedding")
+    if min_samples > 2:
+        counted = checkpointed(neighbours(vectors, eps))
+        cores = counted.filter(F.col("n") + 1 >= min_samples).select("id", F.lit(True).alias("core"))
+        given = vectors.join(counted.select("id"), "id", "left_semi").join(cores, "id", "left").select("id", "embedding", F.coalesce("core", F.lit(False)).alias("core"))
+    else:
+        given = vectors.withColumn("core", F.lit(True))
+
+    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
+        x, y = left["core"].to_numpy(bool), right["core"].to_numpy(bool)
+        ids, own, far = np.concatenate([left["id"], right["id"]]), left["id"].to_numpy(), right["id"].to_numpy()
+        at, root = forest(close & x[:, None] & y[None, :])
+        # of a border point and its core, the point is first
+        p, q = np.nonzero(close & ~x[:, None] & y[None, :])
+        a, b = [ids[at], own[p]], [ids[root], far[q]]
+        if not same:
+            p, q = np.nonzero(close & x[:, None] & ~y[None, :])
+            a, b = [*a, far[q]], [*b, own[p]]
+        return np.concatenate(a), np.concatenate(b)
+
+    links = checkpointed(_blocks(given, eps, emit, "a long, b long").filter("a <> b"))
+    if min_samples > 2:
+        links = links.join(cores.select(F.col("id").alias("a"), F.lit(True).alias("inner")), "a", "left")
+    else:
+        links = links.withColumn("inner", F.lit(True))
+    comps = components(links.filter("inner").select("a", "b"))
+    if min_samples > 2:
+        own = cores.join(comps, F.col("id") == F.col("node"), "left").select(F.col("id").alias("core"), F.coalesce("component", "id").alias("cluster"))
+    elif min_samples == 2:
+        own = comps.select(F.col("node").alias("core"), F.col("component").alias("cluster"))
+    else:
+        own = vectors.join(comps, F.col("id") == F.col("node"), "left").select(F.col("id").alias("core"), F.coalesce("component", "id").alias("cluster"))
+    border = links.filter("inner is null").join(own, F.col("b") == F.col("core")).groupBy("a").agg(F.min("cluster").alias("near"))
     out = vectors.select("id").join(own, F.col("id") == F.col("core"), "left").join(border, F.col("id") == F.col("a"), "left")
     return out.select("id", F.coalesce("cluster", "near").alias("cluster"))
 
@@ -79,8 +154,6 @@ def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others
     and the best of those are its nearest. So neither side has to fit anywhere, and what is ranked
     is k rows a probe and block. Equal distances go to the least id.
     """
-    import numpy as np
-
     blocks = [max(1, -(-df.count() // BLOCK)) for df in (probes, side)]
     deal = lambda df, n, name: unit(df).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     p = deal(probes, blocks[0], "i").select(F.col("id").alias("probe"), "v", "i", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))

@@ -152,6 +152,41 @@ def test_dbscan(spark):
     assert len(set(got.values()) - {None}) == 3
 
 
+def test_dbscan_over_blocks_equals_brute_force(spark, monkeypatch):
+    """Cores, border points and noise, with many pairs of blocks, at each kind of min_samples."""
+    monkeypatch.setattr(entity, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    v = np.vstack([rng.normal(c, s, (30, 6)) for c, s in zip(np.eye(6)[:4], (0.05, 0.2, 0.3, 0.5), strict=True)] + [rng.normal(0, 1, (20, 6))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = 1 - unit @ unit.T <= 0.05
+    df = vecs(spark, [(i, i, 0, x.tolist()) for i, x in enumerate(unit.astype(np.float64))]).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    for least in (1, 2, 4):
+        core, label = near.sum(1) >= least, np.arange(140)
+        for _ in range(140):
+            label = np.array([min(label[j] for j in range(140) if j == i or (core[i] and core[j] and near[i, j])) for i in range(140)])
+        want = {i: int(label[i]) if core[i] else min((int(label[j]) for j in np.flatnonzero(near[i] & core)), default=None) for i in range(140)}
+        got = {r["id"]: r["cluster"] for r in entity.dbscan(df, 0.05, least).collect()}
+        assert got == want
+        assert least != 4 or {None} < {want[i] for i in range(140) if not core[i]}  # there are border points and noise
+
+
+def test_forest():
+    rng = np.random.default_rng(7)
+    for n, share in ((1, 1.0), (9, 0.1), (40, 0.02), (40, 0.5)):
+        close = rng.random((n, n + 3)) < share
+        at, root = entity.forest(close)
+        assert len(at) <= 2 * n + 3 and (root < n).all()
+        own = np.arange(2 * n + 3)
+        own[at] = root
+        p, q = np.nonzero(close)
+        assert (own[p] == own[n + q]).all()
+        label = np.arange(2 * n + 3)
+        for _ in range(2 * n + 3):
+            for i, j in zip(p, q + n, strict=True):
+                label[i] = label[j] = min(label[i], label[j])
+        assert len(set(label)) == len(set(own))
+
+
 def test_knn_vote(spark):
     pos = spark.createDataFrame([(1, 2, [1.0, 0.02, 0.0]), (2, 1, [1.0, 0.05, 0.0]), (3, 1, [1.0, 0.06, 0.0])], "id long, person_id long, embedding array<float>")
     probe = vecs(spark, [(9, 9, 0, [1.0, 0.0, 0.0])]).select("id", "embedding")
