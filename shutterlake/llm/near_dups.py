@@ -3,11 +3,15 @@
 Texts become sets of 5-word shingles (64-bit hashes). Documents of equal sets are one class from
 the start, so copies cost no pairs. Classes get SuperMinHash signatures of 192 slots in 32 bands of
 6; classes that share a band are candidates: two of likeness 0.85 share none with a chance under
-3 in 10 million. Candidates are linked in two steps that emit no group's pairs:
+3 in 10 million. Candidates are linked in steps that emit no group's pairs:
 
 1. star: of each band's group, every member is paired with the member that stands in the most and
    largest groups (the likely original);
-2. rest: where the links so far leave a group in several components, all pairs across components
+2. more stars, for groups of over BLOCK members that the links so far leave in several components:
+   every member outside the group's largest component is paired with a member of it, another in
+   each round, as long as a round halves such groups' members; so a group of near copies costs
+   rounds times members;
+3. rest: where the links so far leave a group in several components, all pairs across components
    whose signatures agree enough (five standard errors under the limit: 0.72) and whose sizes
    allow the limit, each in the first band that the two share. Large groups are dealt out in
    blocks against blocks. First the members that have such a partner are found, then their texts
@@ -264,10 +268,15 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: i
     likely = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "n", "sig", "bands")
     likely = scratch.save(likely, "likely")
     scratch.drop("classes")
-    side = lambda s: likely.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
-    sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    star = by_batch("a long, b long", _agreement(percent))(star.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow).select("a", "b", "sig_a", "sig_b"))
-    star = scratch.save(star, "star")
+
+    def promising(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) whose sizes and signatures allow the limit."""
+        side = lambda s: likely.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
+        sizes_allow = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow).select("a", "b", "sig_a", "sig_b")
+        return scratch.save(by_batch("a long, b long", _agreement(percent))(both), name)
+
+    star = promising(star, "star")
     scratch.settle()
 
     # texts of the classes that any verification may need
@@ -284,11 +293,25 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: i
     comps = scratch.save(components(links, scratch, "cc1"), "comps-1")
 
     # groups that the links leave in several components, their head aside: it was paired with all
-    of = lambda c: c.select("node", F.col("component").alias("comp"))
-    rest = members.filter("c > 2").join(heads, "h").filter("node <> head").drop("head")
-    rest = rest.join(of(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    rest = rest.join(scratch.save(split, "split"), "h")
+    def open_groups(name: str) -> DataFrame:
+        of = comps.select("node", F.col("component").alias("comp"))
+        rest = members.filter("c > 2").join(heads, "h").filter("node <> head").drop("head")
+        rest = rest.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+        return scratch.save(rest.join(scratch.save(split, f"split-{name}"), "h"), f"open-{name}")
+
+    rest, k, before = open_groups("1"), 1, None
+    while (large := rest.filter(F.col("c") > BLOCK).count()) and (before is None or 2 * large <= before):
+        k, before = k + 1, large
+        sizes = rest.filter(F.col("c") > BLOCK).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("one"))
+        chosen = sizes.groupBy("h").agg(F.max(F.struct("m", "comp", "one")).alias("top")).select("h", F.col("top.comp").alias("main"), F.col("top.one.node").alias("head"))
+        chosen = scratch.save(chosen, f"heads-{k}")
+        pairs = rest.join(chosen, "h").filter("comp <> main").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+        found = verified(promising(pairs, f"star-{k}"), f"links-1-{k}")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = scratch.save(components(links, scratch, f"cc1-{k}"), f"comps-1-{k}")
+            rest = open_groups(str(k))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -302,7 +325,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: i
         if not more.isEmpty():
             comps = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comps-2")
 
-    scratch.drop("full", "rest", "star", "members", "likely", "shared", "heads", "split")
+    scratch.drop("full", "rest", "star", "members", "likely", "shared", "heads", *[f"{x}-{i}" for x in ("split", "open", "heads", "star") for i in range(1, k + 1)])
     known = nodes.join(comps, "node", "left").select(F.col("mark").alias("m"), F.coalesce("component", "node").alias("c"), "least")
     if shared_ids:
         known = scratch.save(known, "known")

@@ -320,10 +320,22 @@ def near_copies(rng, n):
     return out
 
 
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 16)  # groups are dealt out in blocks
+def drifting_copies(rng, n):
+    """Each text is the last one with a word changed: near neighbours are alike, far ones share a long beginning only."""
+    words, out = [f"w{i}" for i in range(300)], []
+    t = [rng.choice(words) for _ in range(120)]
+    for _ in range(n):
+        t = t[:]
+        t[rng.randrange(70, 120)] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("copies, n", [(near_copies, 60), (drifting_copies, 180)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, copies, n):
+    monkeypatch.setattr(near_dups, "BLOCK", 16)  # groups get more stars, then are dealt out in blocks
     rng = random.Random(5)
-    rows = list(enumerate(near_copies(rng, 60))) + [(500, None), (501, " "), (502, "A b"), (503, "a B"), (504, "a b c")]
+    rows = list(enumerate(copies(rng, n))) + [(500, None), (501, " "), (502, "A b"), (503, "a B"), (504, "a b c")]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(6)).collect()}
 
     def grams(t):
