@@ -7,7 +7,7 @@ the start, so copies cost no pairs. Classes get SuperMinHash signatures of 192 s
 
 1. star: of each band's group, every member is paired with the member that stands in the most and
    largest groups (the likely original);
-2. more stars, for groups of over BLOCK members that the links so far leave in several components:
+2. more stars, for groups of over MANY blocks of members that the links so far leave in several components:
    every member outside the group's largest component is paired with a member of it, another in
    each round, as long as a round halves such groups' members; so a group of near copies costs
    rounds times members;
@@ -49,6 +49,8 @@ WORDS, SLOTS, ROWS = 5, 192, 6
 PERCENT = 85
 #: Members of a block when a large group is dealt out.
 BLOCK = 256
+#: Blocks from which on a group gets more stars first: dealing it out writes each member so many times.
+MANY = 8
 #: Classes without a doc_id of their own have numbers from here on.
 NAMELESS = 1 << 62
 
@@ -300,10 +302,10 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slots: i
         split = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
         return scratch.save(rest.join(scratch.save(split, f"split-{name}"), "h"), f"open-{name}")
 
-    rest, k, before = open_groups("1"), 1, None
-    while (large := rest.filter(F.col("c") > BLOCK).count()) and (before is None or 2 * large <= before):
+    rest, k, before, is_large = open_groups("1"), 1, None, F.col("c") > MANY * BLOCK
+    while (large := rest.filter(is_large).count()) and (before is None or 2 * large <= before):
         k, before = k + 1, large
-        sizes = rest.filter(F.col("c") > BLOCK).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("one"))
+        sizes = rest.filter(is_large).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("one"))
         chosen = sizes.groupBy("h").agg(F.max(F.struct("m", "comp", "one")).alias("top")).select("h", F.col("top.comp").alias("main"), F.col("top.one.node").alias("head"))
         chosen = scratch.save(chosen, f"heads-{k}")
         pairs = rest.join(chosen, "h").filter("comp <> main").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()

@@ -334,6 +334,7 @@ def drifting_copies(rng, n):
 @pytest.mark.parametrize("copies, n", [(near_copies, 60), (drifting_copies, 180)])
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch, copies, n):
     monkeypatch.setattr(near_dups, "BLOCK", 16)  # groups get more stars, then are dealt out in blocks
+    monkeypatch.setattr(near_dups, "MANY", 1)
     rng = random.Random(5)
     rows = list(enumerate(copies(rng, n))) + [(500, None), (501, " "), (502, "A b"), (503, "a B"), (504, "a b c")]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(6)).collect()}
