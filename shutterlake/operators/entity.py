@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,14 +17,125 @@ from ..functions.media import iou
 from ..functions.vectors import doubles, normalize
 from ..plans.graph import checkpointed, components
 
-#: Rows of a block when all pairs of a set of vectors are compared.
-BLOCK = 2048
+#: Rows of a block when all pairs of a set of vectors are compared, and its bytes where vectors are long.
+BLOCK = 4096
+BLOCK_BYTES = 4 << 20
+#: Blocks of a partition at most. A task crosses two partitions, one of which it holds.
+BLOCKS = 16
+#: Rows of a block whose products are made at once; what is made then stays near the processor.
+STRIP = 512
+#: Numbers that a step gathers at once where single pairs are looked at again.
+GATHER = 1 << 21
+#: A person_id of null within a block.
+NOBODY = np.iinfo(np.int64).min
 
 
 def unit(vectors: DataFrame) -> DataFrame:
     return vectors.filter("embedding is not null").withColumn("v", normalize(doubles(F.col("embedding"))))
 
 
+class Block:
+    """Unit vectors with their ids and what else their rows hold."""
+
+    def __init__(self, rows: pa.Buffer):
+        self.rows = pa.ipc.open_stream(rows).read_all()
+        self.ids = self.rows["id"].to_numpy()
+        self.v = _matrix(self.rows["v"].combine_chunks())
+        self.single = self.v.astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def slack(self) -> float:
+        """More than twice what a product of unit vectors in single precision is off."""
+        return (self.v.shape[1] + 8) * 2.0**-22
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows[name].combine_chunks().fill_null(NOBODY if name == "person_id" else False).to_numpy(zero_copy_only=False)
+
+
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """k, rows: vectors (id, embedding and more) as unit vectors in blocks, a row each, written once to the shared folder.
+
+    Vectors that hold a NaN or an infinity are near to nothing, so they are left out.
+    """
+    n, long = vectors.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
+    rows = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, long or 1))))
+    blocks, few = max(1, -(-n // rows)), math.ceil(2 * math.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))
+    parts = max(-(-blocks // BLOCKS), min(blocks, few))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, held = TaskContext.get().partitionId() << 32, []
+
+        def block(t: pa.Table) -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, t.schema) as w:
+                w.write_table(t.combine_chunks())
+            return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "rows": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b.filter(pa.array(np.isfinite(_matrix(b.column("v"))).all(1))))
+            while sum(h.num_rows for h in held) >= rows:
+                t = pa.Table.from_batches(held)
+                yield block(t.slice(0, rows))
+                k, held = k + 1, t.slice(rows).to_batches()
+        if sum(h.num_rows for h in held):
+            yield block(pa.Table.from_batches(held))
+
+    dealt = unit(vectors).drop("embedding").repartition(parts)
+    return checkpointed(dealt.mapInArrow(pack, "k long, rows binary"))
+
+
+def crossed(left: DataFrame, right: DataFrame, step: Callable[[Iterator[tuple[int, int, Block, Block]]], Iterator[dict]], schema: str) -> DataFrame:
+    """step over (i, j, left block, right block) of all pairs of packed blocks, or of those with i <= j where left is right.
+
+    A task crosses two partitions as they lie in the shared folder, so no block is shuffled or written
+    again however many it meets: disk is that of the vectors, and only the work is that of all pairs.
+    A left block meets all right ones of its task before the next.
+    """
+    x = left.select(F.col("k").alias("i"), F.col("rows").alias("x"))
+    y = right.select(F.col("k").alias("j"), F.col("rows").alias("y")).hint("shuffle_replicate_nl")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Block, Block]]:
+        at, block = None, None
+        for b in batches:
+            for i, j, p, q in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("x"), b.column("y"), strict=True):
+                if i != at:
+                    at, block = i, Block(p.as_buffer())
+                yield i, j, block, Block(q.as_buffer())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in step(pairs(batches)):
+            t = pa.RecordBatch.from_pydict(out)
+            for lo in range(0, t.num_rows, 1 << 15):
+                yield t.slice(lo, 1 << 15)
+
+    met = x.join(y, F.col("i") <= F.col("j")) if left is right else x.crossJoin(y)
+    return met.mapInArrow(run, schema)
+
+
+def _spots(mask: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of what is set, by whole rows, at most so many at once where a row hasn't more."""
+    n = np.count_nonzero(mask)
+    if n > most and len(mask) > 1:
+        half = len(mask) // 2
+        yield from _spots(mask[:half], most)
+        for p, q in _spots(mask[half:], most):
+            yield p + half, q
+    elif n:
+        yield np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def _cosines(x: Block, y: Block, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x.v[p], y.v[q])
+
+
 def _blocks(vectors: DataFrame, eps: float, emit: Callable, schema: str) -> DataFrame:
     """emit(left ids, right ids, which are close, same block) of each pair of blocks of vectors (id, embedding, and core if given).
 
@@ -145,35 +258,75 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     return out.select("id", F.coalesce("cluster", "near").alias("cluster"))
 
 
+class Best:
+    """The k nearest that a block of probes has met so far: person_id, id and distance of each, nearest first."""
+
+    def __init__(self, probes: Block, k: int, threshold: float, others: bool):
+        self.probes, self.k, self.threshold, self.others = probes, k, threshold, others
+        self.dist = np.full((len(probes), k), np.inf)
+        self.pos, self.who = np.zeros((2, len(probes), k), np.int64)
+
+    def meet(self, side: Block) -> None:
+        """Single precision finds what may be among the nearest, double precision ranks that."""
+        x, k, slack, who = self.probes, self.k, self.probes.slack(), side.column("person_id")
+        for lo in range(0, len(x), STRIP):
+            s = x.single[lo : lo + STRIP] @ side.single.T
+            limit = (1 - np.minimum(self.threshold, self.dist[lo : lo + STRIP, -1:]) - slack).astype(np.float32)
+            may = s >= limit
+            if len(side) > k + 1 and np.count_nonzero(may) > 4 * (k + 1) * len(s):
+                # one of them may be the probe itself, so k others are as near as the (k + 1)-th
+                at = len(side) - k - 1
+                may = s >= np.maximum(limit, np.partition(s, at, axis=1)[:, at : at + 1] - np.float32(slack))
+            for p, q in _spots(may, max(1, GATHER // x.v.shape[1])):
+                self._rank(p + lo, side, q, who)
+
+    def _rank(self, p: np.ndarray, side: Block, q: np.ndarray, who: np.ndarray) -> None:
+        d = np.round(1.0 - _cosines(self.probes, side, p, q), 12)
+        keep = d <= np.minimum(self.threshold, self.dist[p, -1])
+        if self.others:
+            keep &= self.probes.ids[p] != side.ids[q]
+        p, q, d = p[keep], q[keep], d[keep]
+        rows = np.unique(p)
+        row = np.concatenate([np.repeat(rows, self.k), p])
+        d, pos, w = np.concatenate([self.dist[rows].ravel(), d]), np.concatenate([self.pos[rows].ravel(), side.ids[q]]), np.concatenate([self.who[rows].ravel(), who[q]])
+        order = np.lexsort((pos, d, row))
+        row = row[order]
+        r = np.arange(len(row)) - np.searchsorted(row, row)
+        row, r, order = row[r < self.k], r[r < self.k], order[r < self.k]
+        self.dist[row, r], self.pos[row, r], self.who[row, r] = d[order], pos[order], w[order]
+
+    def found(self) -> dict:
+        x, y = np.nonzero(np.isfinite(self.dist))
+        who = self.who[x, y]
+        return {"probe": self.probes.ids[x], "pos": self.pos[x, y], "person_id": pa.array(who, mask=who == NOBODY), "dist": self.dist[x, y]}
+
+
 def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others: bool = False) -> DataFrame:
     """probe, pos, person_id, dist, r: each probe's k nearest of side (id, person_id, embedding) within the threshold.
 
     others: both are of one table, and no probe is its own neighbour.
 
-    Both are dealt into blocks; a pair of blocks is one matrix product that keeps each probe's k best,
-    and the best of those are its nearest. So neither side has to fit anywhere, and what is ranked
-    is k rows a probe and block. Equal distances go to the least id.
+    Both are packed into blocks; a pair of blocks is one matrix product, and a task hands on each probe's
+    k best of the partition it crosses. So neither side has to fit anywhere, and what is ranked is k rows a
+    probe and partition. Equal distances go to the least id.
     """
-    blocks = [max(1, -(-df.count() // BLOCK)) for df in (probes, side)]
-    deal = lambda df, n, name: unit(df).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    p = deal(probes, blocks[0], "i").select(F.col("id").alias("probe"), "v", "i", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))
-    s = deal(side, blocks[1], "j").select(F.col("id").alias("pos"), "person_id", "v", "j", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"probe": [], "pos": [], "person_id": [], "dist": []}
-        if len(a) and len(b):
-            b = b.sort_values("pos", kind="stable")
-            d = np.round(1.0 - np.vstack(a["v"].to_list()) @ np.vstack(b["v"].to_list()).T, 12)
-            if others:
-                d[a["probe"].to_numpy()[:, None] == b["pos"].to_numpy()] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            x, y = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
-            keep = d[x, y] <= threshold
-            x, y = x[keep], y[keep]
-            out = {"probe": a["probe"].to_numpy()[x], "pos": b["pos"].to_numpy()[y], "person_id": b["person_id"].to_numpy()[y], "dist": d[x, y]}
-        return pd.DataFrame(out).astype({"probe": "int64", "pos": "int64", "person_id": "int64", "dist": "float64"})
-
-    near = p.groupBy("i", "j").cogroup(s.groupBy("i", "j")).applyInPandas(best, "probe long, pos long, person_id long, dist double")
+    return _nearest(packed(probes.select("id", "embedding")), side, k, threshold, others)
+
+
+def _nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others: bool) -> DataFrame:
+    """nearest, for packed probes."""
+    def step(pairs: Iterator) -> Iterator[dict]:
+        at, best = None, None
+        for i, _, x, y in pairs:
+            if i != at:
+                if best:
+                    yield best.found()
+                at, best = i, Best(x, k, threshold, others)
+            best.meet(y)
+        if best:
+            yield best.found()
+
+    near = crossed(probes, packed(side.select("id", "person_id", "embedding")), step, "probe long, pos long, person_id long, dist double")
     return near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("dist", "pos"))).filter(F.col("r") <= k)
 
 
@@ -184,9 +337,10 @@ def knn_vote(probes: DataFrame, positives: DataFrame, negatives: DataFrame | Non
     the threshold vote; a person needs more votes than vetoes; most net votes, then the least mean
     distance, then the least person.
     """
-    votes = nearest(probes, positives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
+    probes = packed(probes.select("id", "embedding"))
+    votes = _nearest(probes, positives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("dist").alias("mean"))
     if negatives is not None:
-        veto = nearest(probes, negatives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
+        veto = _nearest(probes, negatives, k, threshold, others).groupBy("probe", "person_id").agg(F.count(F.lit(1)).alias("vetoes"))
         votes = votes.join(veto, ["probe", "person_id"], "left").withColumn("votes", F.col("votes") - F.coalesce("vetoes", F.lit(0))).drop("vetoes")
     best = votes.filter("votes > 0").withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("votes"), F.round("mean", 9), "person_id"))).filter("r = 1")
     return best.select("probe", "person_id", F.greatest(F.lit(0.0), F.round(1 - F.col("mean"), 6)).alias("confidence"))
