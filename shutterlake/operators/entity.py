@@ -308,13 +308,16 @@ def nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others
 
     Both are packed into blocks; a pair of blocks is one matrix product, and a task hands on each probe's
     k best of the partition it crosses. So neither side has to fit anywhere, and what is ranked is k rows a
-    probe and partition. Equal distances go to the least id.
+    probe and partition. Equal distances go to the least id, so of equal vectors the k + 1 least ids are enough.
     """
     return _nearest(packed(probes.select("id", "embedding")), side, k, threshold, others)
 
 
 def _nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, others: bool) -> DataFrame:
     """nearest, for packed probes."""
+    equal = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("id")
+    side = side.select("id", "person_id", "embedding").filter("embedding is not null").withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).drop("r")
+
     def step(pairs: Iterator) -> Iterator[dict]:
         at, best = None, None
         for i, _, x, y in pairs:
@@ -326,7 +329,7 @@ def _nearest(probes: DataFrame, side: DataFrame, k: int, threshold: float, other
         if best:
             yield best.found()
 
-    near = crossed(probes, packed(side.select("id", "person_id", "embedding")), step, "probe long, pos long, person_id long, dist double")
+    near = crossed(probes, packed(side), step, "probe long, pos long, person_id long, dist double")
     return near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("dist", "pos"))).filter(F.col("r") <= k)
 
 

@@ -46,7 +46,7 @@ def votes(rows: list[tuple], vetoes: bool, k: int, threshold: float) -> dict:
     return out
 
 
-@pytest.mark.parametrize("vetoes", [True])
+@pytest.mark.parametrize("vetoes", [True, False])
 def test_votes_over_blocks(spark, monkeypatch, vetoes):
     monkeypatch.setattr(entity, "BLOCK", 9)
     monkeypatch.setattr(entity, "STRIP", 4)
@@ -57,7 +57,7 @@ def test_votes_over_blocks(spark, monkeypatch, vetoes):
     assert got == votes(rows, vetoes, 3, 0.3) and len(got) > 50
 
 
-@pytest.mark.parametrize("vetoes", [True])
+@pytest.mark.parametrize("vetoes", [True, False])
 def test_votes_shuffle_vectors_once(spark, monkeypatch, vetoes):
     monkeypatch.setattr(entity, "BLOCK", 10)
     df = spark.createDataFrame(faces(300), FACES)
@@ -66,6 +66,14 @@ def test_votes_shuffle_vectors_once(spark, monkeypatch, vetoes):
     assert shuffled(spark, run) < 300 * 12
 
 
+def test_of_equal_vectors_the_least_ids_are_met(spark):
+    df = spark.createDataFrame([(i, i, [1.0, 0.5]) for i in range(50)] + [(99, 7, [1.0, 0.4])], FACES)
+    got = {r["probe"]: [] for r in df.selectExpr("id as probe").collect()}
+    for r in entity.nearest(df, df, 3, 0.5, others=True).orderBy("probe", "r").collect():
+        got[r["probe"]].append((r["pos"], r["person_id"]))
+    assert got == {i: [(j, j) for j in range(4) if j != i][:3] for i in [*range(50), 99]}
+
+
 def test_unknown_persons_vote_too(spark):
     df = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, 4, [1.0, 0.1])], FACES)
     assert {(r["probe"], r["person_id"]) for r in entity.nearest(df, df, 1, 0.5, others=True).collect()} == {(1, 4), (2, None)}
