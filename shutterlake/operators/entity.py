@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -136,56 +135,52 @@ def _cosines(x: Block, y: Block, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x.v[p], y.v[q])
 
 
-def _blocks(vectors: DataFrame, eps: float, emit: Callable, schema: str) -> DataFrame:
-    """emit(left ids, right ids, which are close, same block) of each pair of blocks of vectors (id, embedding, and core if given).
+def within(x: Block, y: Block, eps: float, same: bool) -> np.ndarray:
+    """Which of x and y are at cosine distance of eps or less; no vector is so to itself.
 
-    The vectors are dealt into blocks; each pair of blocks is one Arrow group whose distances are one
-    matrix product, so memory is two blocks. The work is that of all pairs: exact radius joins in many
-    dimensions have no smaller bound. What leaves a task is emit's alone.
+    Single precision decides all that isn't within its error of eps, double precision that.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    more = [c for c in vectors.columns if c == "core"]
-    dealt = unit(vectors).select("id", "v", *more, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = dealt.withColumn("o", other).select("id", "v", *more, "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        left, right = g[g["k"] == i], g[g["k"] == j]
-        if not len(left) or not len(right):
-            a = b = np.zeros(0, np.int64)
-        else:
-            x, y = np.vstack(left["v"].to_list()), np.vstack(right["v"].to_list())
-            close = 1.0 - x @ y.T <= eps + 1e-12
-            if i == j:
-                np.fill_diagonal(close, False)
-            a, b = emit(left, right, close, i == j)
-        return pd.DataFrame({"a": a, "b": b}).astype("int64")
-
-    return dealt.groupBy("i", "j").applyInPandas(pairs, schema)
+    close, slack = np.empty((len(x), len(y)), bool), x.slack()
+    for lo in range(0, len(x), STRIP):
+        s = x.single[lo : lo + STRIP] @ y.single.T
+        part = np.greater_equal(s, np.float32(1 - eps + slack), out=close[lo : lo + STRIP])
+        for p, q in _spots((s >= np.float32(1 - eps - slack)) ^ part, max(1, GATHER // x.v.shape[1])):
+            part[p, q] = 1.0 - _cosines(x, y, p + lo, q) <= eps + 1e-12
+    if same:
+        np.fill_diagonal(close, False)
+    return close
 
 
 def close_pairs(vectors: DataFrame, eps: float) -> DataFrame:
     """Pairs (a > b) at cosine distance of eps or less, exactly and all of them."""
-    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
-        p, q = np.nonzero(close)
-        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
-        keep = a > b if same else np.ones(len(a), bool)
-        return np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+    def step(pairs: Iterator) -> Iterator[dict]:
+        for i, j, x, y in pairs:
+            for p, q in _spots(within(x, y, eps, i == j), 1 << 20):
+                a, b = x.ids[p], y.ids[q]
+                keep = a > b if i == j else np.ones(len(a), bool)
+                yield {"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]}
 
-    return _blocks(vectors.select("id", "embedding"), eps, emit, "a long, b long")
+    blocks = packed(vectors.select("id", "embedding"))
+    return crossed(blocks, blocks, step, "a long, b long")
 
 
 def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
     """id, n: how many others are at cosine distance of eps or less; those without any are left out."""
-    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
-        ids, n = left["id"].to_numpy(), close.sum(1)
-        if not same:
-            ids, n = np.concatenate([ids, right["id"].to_numpy()]), np.concatenate([n, close.sum(0)])
-        return ids[n > 0], n[n > 0]
+    return _neighbours(packed(vectors.select("id", "embedding")), eps)
+
+
+def _neighbours(blocks: DataFrame, eps: float) -> DataFrame:
+    def step(pairs: Iterator) -> Iterator[dict]:
+        ids, n = {}, {}
+        for i, j, x, y in pairs:
+            close = within(x, y, eps, i == j)
+            for k, block, axis in ((i, x, 1), (j, y, 0))[: 1 + (i != j)]:
+                ids[k] = block.ids
+                n[k] = n.get(k, 0) + np.count_nonzero(close, axis=axis)
+        for k, c in n.items():
+            yield {"a": ids[k][c > 0], "b": c[c > 0].astype(np.int64)}
 
-    return _blocks(vectors.select("id", "embedding"), eps, emit, "a long, b long").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
+    return crossed(blocks, blocks, step, "a long, b long").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
 
 
 def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +207,48 @@ def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, root[at]
 
 
+class Trees:
+    """Which vectors of a task's blocks are linked, by numbers in order of arrival: the least linked number of each."""
+
+    def __init__(self):
+        self.first, self.ids, self.least = {}, [], np.zeros(0, np.int64)
+
+    def of(self, k: int, block: Block) -> np.ndarray:
+        """The numbers of block k's vectors."""
+        if k not in self.first:
+            self.first[k] = len(self.least)
+            self.ids.append(block.ids)
+            self.least = np.concatenate([self.least, np.arange(len(self.least), len(self.least) + len(block))])
+        return np.arange(self.first[k], self.first[k] + len(block))
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            p, q = self.least[a], self.least[b]
+            new = p != q
+            if not new.any():
+                return
+            a, b = a[new], b[new]
+            np.minimum.at(self.least, np.maximum(p, q)[new], np.minimum(p, q)[new])
+            while (up := self.least[self.least] != self.least).any():
+                self.least[up] = self.least[self.least[up]]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(id, its tree's least id) where they differ."""
+        ids = np.concatenate([np.zeros(0, np.int64), *self.ids])
+        root = ids.copy()
+        np.minimum.at(root, self.least, ids)
+        root = root[self.least]
+        return ids[ids != root], root[ids != root]
+
+
 def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     """id, cluster (its least core id; null for noise).
 
     Cores have min_samples neighbours, themselves included; cores within eps share a cluster, and a
     border point joins the least of its cores' clusters. A first pass over the pairs of blocks counts
-    neighbours; a second gives the trees that span each pair's links of cores, at most a row a vector,
-    and the links of points that aren't cores, of which each has fewer than min_samples. So a dense
-    cluster never leaves as its pairs. At min_samples of 2 or less a link makes cores, and one pass does.
+    neighbours; a second gives the trees that span each task's links of cores, at most a row for each of
+    its vectors, and the links of points that aren't cores, of which each has fewer than min_samples. So
+    a dense cluster never leaves as its pairs. At min_samples of 2 or less a link makes cores, and one pass does.
     """
     vectors = vectors.select("id", "embedding")
     if min_samples > 2:
@@ -229,19 +258,33 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
     else:
         given = vectors.withColumn("core", F.lit(True))
 
-    def emit(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, same: bool) -> tuple:
-        x, y = left["core"].to_numpy(bool), right["core"].to_numpy(bool)
-        ids, own, far = np.concatenate([left["id"], right["id"]]), left["id"].to_numpy(), right["id"].to_numpy()
-        at, root = forest(close & x[:, None] & y[None, :])
-        # of a border point and its core, the point is first
-        p, q = np.nonzero(close & ~x[:, None] & y[None, :])
-        a, b = [ids[at], own[p]], [ids[root], far[q]]
-        if not same:
-            p, q = np.nonzero(close & x[:, None] & ~y[None, :])
-            a, b = [*a, far[q]], [*b, own[p]]
-        return np.concatenate(a), np.concatenate(b)
-
-    links = checkpointed(_blocks(given, eps, emit, "a long, b long").filter("a <> b"))
+    def step(pairs: Iterator) -> Iterator[dict]:
+        trees = Trees()
+        for i, j, x, y in pairs:
+            own, far = trees.of(i, x), trees.of(j, y)
+            inner, outer = x.column("core"), y.column("core")
+            a, b = trees.least[own], trees.least[far]
+            if inner.all() and outer.all() and (a == a[0]).all() and (b == a[0]).all():
+                continue
+            close = within(x, y, eps, i == j)
+            # of a border point and its core, the point is first
+            for p, q in _spots(close & ~inner[:, None] & outer[None, :], 1 << 20):
+                yield {"a": x.ids[p], "b": y.ids[q]}
+            if i != j:
+                for p, q in _spots(close & inner[:, None] & ~outer[None, :], 1 << 20):
+                    yield {"a": y.ids[q], "b": x.ids[p]}
+            close &= inner[:, None] & outer[None, :]
+            close &= a.astype(np.int32)[:, None] != b.astype(np.int32)[None, :]
+            rows = np.flatnonzero(close.any(1))
+            if len(rows):
+                at, root = forest(close[rows])
+                both = np.concatenate([own[rows], far])
+                trees.link(both[at], both[root])
+        a, b = trees.links()
+        yield {"a": a, "b": b}
+
+    blocks = packed(given)
+    links = checkpointed(crossed(blocks, blocks, step, "a long, b long").filter("a <> b"))
     if min_samples > 2:
         links = links.join(cores.select(F.col("id").alias("a"), F.lit(True).alias("inner")), "a", "left")
     else:

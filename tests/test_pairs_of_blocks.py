@@ -77,3 +77,20 @@ def test_of_equal_vectors_the_least_ids_are_met(spark):
 def test_unknown_persons_vote_too(spark):
     df = spark.createDataFrame([(1, None, [1.0, 0.0]), (2, 4, [1.0, 0.1])], FACES)
     assert {(r["probe"], r["person_id"]) for r in entity.nearest(df, df, 1, 0.5, others=True).collect()} == {(1, 4), (2, None)}
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_clusters_shuffle_vectors_once(spark, monkeypatch, least):
+    df = spark.createDataFrame(faces(300), FACES).select("id", "embedding")
+    monkeypatch.setattr(entity, "BLOCK", 10)
+    assert shuffled(spark, lambda: entity.dbscan(df, 1e-9, least).collect()) < 300 * 8
+
+
+def test_distances_at_the_limit_are_decided_in_double_precision(spark):
+    """Angles that single precision can't tell from the limit."""
+    a = [np.arccos(0.5) + x for x in (-1e-9, 1e-9)]
+    rows = [(0, 0, [1.0, 0.0])] + [(i + 1, 0, [float(np.cos(x)), float(np.sin(x)) * (1 - 2 * i)]) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, FACES)
+    assert [tuple(r) for r in entity.close_pairs(df, 0.5).collect()] == [(1, 0)]
+    assert {r["id"]: r["cluster"] for r in entity.dbscan(df.select("id", "embedding"), 0.5).collect()} == {0: 0, 1: 0, 2: None}
+    assert {(r["probe"], r["pos"]) for r in entity.nearest(df, df, 2, 0.5, others=True).collect()} == {(0, 1), (1, 0)}
