@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.media import iou
-from ..functions.vectors import doubles, normalize
 from ..plans.graph import checkpointed, components
 
 #: Rows of a block when all pairs of a set of vectors are compared, and its bytes where vectors are long.
 BLOCK = 4096
 BLOCK_BYTES = 4 << 20
 #: Blocks of a partition at most. A task crosses two partitions, one of which it holds.
-BLOCKS = 16
+BLOCKS = 32
 #: Rows of a block whose products are made at once; what is made then stays near the processor.
 STRIP = 512
 #: Numbers that a step gathers at once where single pairs are looked at again.
@@ -29,17 +28,15 @@ GATHER = 1 << 21
 NOBODY = np.iinfo(np.int64).min
 
 
-def unit(vectors: DataFrame) -> DataFrame:
-    return vectors.filter("embedding is not null").withColumn("v", normalize(doubles(F.col("embedding"))))
-
-
 class Block:
-    """Unit vectors with their ids and what else their rows hold."""
+    """Unit vectors (those of next to no length as they are) with their ids and what else their rows hold."""
 
     def __init__(self, rows: pa.Buffer):
         self.rows = pa.ipc.open_stream(rows).read_all()
         self.ids = self.rows["id"].to_numpy()
-        self.v = _matrix(self.rows["v"].combine_chunks())
+        self.v = _matrix(self.rows["embedding"].combine_chunks()).astype(np.float64)
+        n = np.sqrt((self.v * self.v).sum(1, keepdims=True))
+        self.v /= np.where(n <= 1e-8, 1.0, n)
         self.single = self.v.astype(np.float32)
 
     def __len__(self) -> int:
@@ -58,7 +55,7 @@ def _matrix(v: pa.ListArray) -> np.ndarray:
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """k, rows: vectors (id, embedding and more) as unit vectors in blocks, a row each, written once to the shared folder.
+    """k, rows: vectors (id, embedding and more) in blocks, a row each, written once to the shared folder.
 
     Vectors that hold a NaN or an infinity are near to nothing, so they are left out.
     """
@@ -79,7 +76,7 @@ def packed(vectors: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(b.filter(pa.array(np.isfinite(_matrix(b.column("v"))).all(1))))
+            held.append(b.filter(pa.array(np.isfinite(_matrix(b.column("embedding"))).all(1))))
             while sum(h.num_rows for h in held) >= rows:
                 t = pa.Table.from_batches(held)
                 yield block(t.slice(0, rows))
@@ -87,8 +84,7 @@ def packed(vectors: DataFrame) -> DataFrame:
         if sum(h.num_rows for h in held):
             yield block(pa.Table.from_batches(held))
 
-    dealt = unit(vectors).drop("embedding").repartition(parts)
-    return checkpointed(dealt.mapInArrow(pack, "k long, rows binary"))
+    return checkpointed(vectors.filter("embedding is not null").repartition(parts).mapInArrow(pack, "k long, rows binary"))
 
 
 def crossed(left: DataFrame, right: DataFrame, step: Callable[[Iterator[tuple[int, int, Block, Block]]], Iterator[dict]], schema: str) -> DataFrame:
